@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import line_crf, packing, secret_scan, token_store, warc
+from palimpsest.llm import line_crf, ngram_join, packing, secret_scan, token_store, warc
 from palimpsest.llm.shared import read_table
 
 
@@ -30,12 +30,17 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_ids(read_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op7_secret_scan": op7_secret_scan,
     "op9_token_ids": op9_token_ids,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {}

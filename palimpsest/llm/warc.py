@@ -81,7 +81,7 @@ def dictionary(records: list[bytes], size: int = 112 << 10, sample_bytes: int =
     """A dictionary from records spread evenly over the archive; None if they are too few."""
     total = sum(map(len, records))
     step = max(1, -(-total // sample_bytes))
-    samples = [r[: 64 << 10] for r in records[::step]]
+    samples = records[::step]
     size = min(size, sum(map(len, samples)) // 8)
     if len(samples) < 8 or size < 256:
         return None

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import line_crf, ngram_join, packing, secret_scan, token_store, warc
+from palimpsest.llm import byte_cnn, decontam, line_crf, ngram_join, packing, secret_scan, token_store, warc
 from palimpsest.llm.shared import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.assess(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_ids(read_table(spark, sf_dir, "documents"))
 
@@ -35,10 +43,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op7_secret_scan": op7_secret_scan,
+    "op8_decontamination": op8_decontamination,
     "op9_token_ids": op9_token_ids,
     "op10_ngram_join": op10_ngram_join,
 }

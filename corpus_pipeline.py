@@ -1,10 +1,56 @@
-"""Corpus pipeline: quality rules, line dedup, near-duplicate join, decontamination, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-duplicate join, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet in the
+cluster's shared folder and read back as the next one's `docs`.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from palimpsest.llm import decontam, line_crf, line_dedup, ngram_join, packing
+from palimpsest.llm.shared import read_table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the line labels keep."""
+    return line_crf.keep(docs, read_table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that occur earlier in the corpus."""
+    return line_dedup.dedup(docs)
+
+
+def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full windows with the sources' shares."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", join_near_duplicates),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: Viterbi labels and tokenizer ids have no SQL form; the tests use brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

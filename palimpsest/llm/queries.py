@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import byte_cnn, decontam, line_crf, line_dedup, ngram_join, packing, secret_scan, token_store, warc
+from palimpsest.llm import byte_cnn, decontam, gru_lm, line_crf, line_dedup, ngram_join, packing, secret_scan, token_store, warc
 from palimpsest.llm.shared import read_table
 
 
@@ -26,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op5_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
+    "op5_gru_lm": op5_gru_lm,
     "op6_line_dedup": op6_line_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontamination": op8_decontamination,

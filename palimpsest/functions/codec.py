@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -86,10 +87,11 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("decimal(20,0)")
-def fnv1a_64(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def fnv1a_64(key: Column) -> Column:
     """Exact 64-bit FNV-1a; Parquet's own bloom filters serve scans, this is for stored hashes."""
-    from decimal import Decimal
 
-    for s in keys:
-        yield s.map(lambda k: Decimal(fnv1a(bytes(k))))
+    def hashes(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in keys:
+            yield s.map(lambda k: Decimal(fnv1a(bytes(k))))
+
+    return F.pandas_udf(hashes, "decimal(20,0)")(key)

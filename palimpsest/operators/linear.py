@@ -14,21 +14,24 @@ import math
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_STATES = 5_000_000
 UNDECIDED = "state limit exceeded (undecided)"
-_KNOWN = F.coalesce(F.col("outcome").isin("ok", "notfound"), F.lit(False))
+
+
+def _known() -> Column:
+    return F.coalesce(F.col("outcome").isin("ok", "notfound"), F.lit(False))
 
 
 def relevant(history: DataFrame) -> DataFrame:
     """Operations that can decide a verdict, with `known` outcomes; of the unknown ones go
     reads, writes whose value no read saw, and deletes called after the last read of nothing."""
-    reads = history.filter((F.col("op") == "get") & _KNOWN)
+    reads = history.filter((F.col("op") == "get") & _known())
     seen = reads.filter("result is not null").select("key", F.col("result").alias("value")).distinct().withColumn("seen", F.lit(True))
     nothing = reads.filter("result is null").groupBy("key").agg(F.max("returned").alias("last_nothing"))
-    rows = history.join(seen, ["key", "value"], "left").join(nothing, "key", "left").withColumn("known", _KNOWN)
+    rows = history.join(seen, ["key", "value"], "left").join(nothing, "key", "left").withColumn("known", _known())
     useful = F.col("known") | ((F.col("op") == "put") & F.col("seen")) | ((F.col("op") == "del") & (F.col("invoked") <= F.coalesce("last_nothing", F.lit(-1.0))))
     return rows.filter(useful).select("id", "key", "op", "value", "result", "invoked", F.when(F.col("known"), F.col("returned")).alias("returned"), "known")
 

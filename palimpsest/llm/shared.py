@@ -1,48 +1,27 @@
-"""Shared storage of the cluster, and tables that cut lineage.
+"""Shared storage of the cluster for the operators here, and file systems for executors.
 
 Executors can be lost at any time, so intermediate results that are read more
 than once are written as Parquet under the folder named by
-``spark.checkpoint.dir``. Only where that is unset (tests) a temporary one is made.
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.sources.shared import fresh_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as a URI or path."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """`df` written to the shared folder and read back: no lineage, no recomputation."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["filesystem", "fresh_path", "read_table", "shared_dir", "written"]
 
 
 def filesystem(uri: str):
     """(file system, path) of a URI or an absolute path, usable on any executor."""
     from pyarrow import fs
 
-    if "://" not in uri and not uri.startswith("file:"):
+    if uri.startswith("/"):
         uri = f"file://{uri}"
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:") :]
+    elif uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
     return fs.FileSystem.from_uri(uri)
 
 

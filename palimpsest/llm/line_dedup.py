@@ -162,8 +162,13 @@ def _joined(docs: DataFrame, drops: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, block: int = 32) -> DataFrame:
-    """The documents with all their columns, `text` without dropped lines; n_chars follows the text where it exists."""
+    """The documents with all their columns, `text` without dropped lines; n_chars follows the text where it exists.
+
+    A document that loses its last line with a word is a copy of earlier ones and goes.
+    """
     out = _joined(docs, decide(docs, max_edits, min_chars, block))
+    lost = (F.size("exact") + F.size("near") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
+    out = out.filter(~F.coalesce(lost, F.lit(False)))
 
     def column(c: str) -> Column:
         if c == "text":

@@ -228,6 +228,8 @@ def pack(
     )
     before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
     bases = queued.select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tape_base"))
+    # Written first, so that the planner knows its size: small, it is broadcast and the ids are not shuffled.
+    bases = written(bases, "packing-bases")
     placed = tokens.join(bases, (tokens.part == bases.p) & tokens.source.eqNullSafe(bases.s))
     placed = placed.select("doc_id", "source", "queue", "tape_base", "local_start", "n_tokens", "ids")
     return placed.mapInArrow(lambda b: _pieces(b, plan, dtype, with_ids), columns)

@@ -31,7 +31,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes lists of texts to little-endian id bytes of ``dtype``."""
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,7 +106,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, cache_entries: int = 400_000) -> Encoder:
+def encoder(path: str, cache_entries: int = 1_000_000) -> Encoder:
     """The worker's encoder for a tokenizer file; kept between tasks."""
     key = (path, cache_entries)
     if key not in _ENCODERS:

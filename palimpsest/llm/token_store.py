@@ -104,7 +104,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str,
             if out is None:
                 fs.create_dir(base, recursive=True)
                 path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
-                out = fs.open_output_stream(filesystem(path)[1])
+                out = fs.open_output_stream(filesystem(path)[1], compression=None)
                 out.write(MAGIC)
             for ids in coder.encode_all(part.column("text").to_pylist()):
                 out.write(ids + end)

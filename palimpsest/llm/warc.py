@@ -97,7 +97,7 @@ def write_archive(path: str, records: list[bytes], level: int = 3) -> int:
     found = dictionary(records)
     coder = zstandard.ZstdCompressor(level=level, dict_data=found, write_content_size=True)
     size = 0
-    with fs.open_output_stream(at) as out:
+    with fs.open_output_stream(at, compression=None) as out:
         if found is not None:
             data = found.as_bytes()
             size += out.write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
@@ -109,7 +109,7 @@ def write_archive(path: str, records: list[bytes], level: int = 3) -> int:
 def read_archive(path: str) -> Iterator[bytes]:
     """The records of one archive, in order."""
     fs, at = filesystem(path)
-    with fs.open_input_stream(at) as file:
+    with fs.open_input_stream(at, compression=None) as file:
         data = file.read()
     found, at = None, 0
     if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_MAGIC:

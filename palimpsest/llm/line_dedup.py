@@ -56,11 +56,8 @@ def keys(line: Column, length: Column, max_edits: int) -> Column:
     return F.array_distinct(F.array(*out))
 
 
-def within(a: Column, b: Column, max_edits: int) -> Column:
-    """Whether arrays of characters differ by at most `max_edits` edits (their sizes by no more).
-
-    Bit d of edit count e says that a[: j + d - max_edits] matches b[:j] with e edits.
-    """
+def _automaton(a: Column, b: Column, max_edits: int) -> Column:
+    """State after arrays of characters: bit d of edit count e says a[: j + d - max_edits] matches b[:j] with e edits."""
     width = 2 * max_edits + 1
     full = (1 << width) - 1
 
@@ -84,10 +81,30 @@ def within(a: Column, b: Column, max_edits: int) -> Column:
     start = 0
     for e in range(max_edits + 1):
         start |= sum(1 << (max_edits + d) for d in range(e + 1)) << (width * e)
-    masks = F.transform(F.sequence(F.lit(0), F.size(b) - 1), equal)
-    end = F.aggregate(masks, F.lit(start), advance)
-    bit = F.size(a) - F.size(b) + (max_edits + width * max_edits)
-    return F.getbit(end, bit) == 1
+    masks = F.when(F.size(b) > 0, F.transform(F.sequence(F.lit(0), F.size(b) - 1), equal)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(masks, F.lit(start), advance)
+
+
+def _chars(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
+def within(a: Column, b: Column, max_edits: int) -> Column:
+    """Whether arrays of characters differ by at most `max_edits` edits (their sizes by no more)."""
+    bit = F.size(a) - F.size(b) + (max_edits + (2 * max_edits + 1) * max_edits)
+    return F.getbit(_automaton(a, b, max_edits), bit) == 1
+
+
+def near(a: Column, b: Column, max_edits: int, window: int = 24) -> Column:
+    """`within` for strings; the first characters alone end most comparisons."""
+    heads = _automaton(_chars(F.substring(a, 1, window + max_edits)), _chars(F.substring(b, 1, window)), max_edits)
+    return (heads != 0) & within(_chars(a), _chars(b), max_edits)
+
+
+def _pieces(line: Column, size: int = 16) -> Column:
+    """Hashes of the line's pieces of `size` characters."""
+    starts = F.sequence(F.lit(0), F.floor((F.char_length(line) - 1) / size).cast("int"))
+    return F.transform(starts, lambda i: F.xxhash64(F.substring(line, i * size + 1, F.lit(size))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -117,19 +134,31 @@ def near_lines(lines: DataFrame, max_edits: int, block: int) -> DataFrame:
     met = written(entries.join(groups, "key"), "line-keys")
     chosen = met.groupBy("n", "low", "high", "lines").agg(F.min("key").alias("key")).select("key")
     members = met.join(chosen, "key").select("key", "id", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
-    texts = lines.join(members.select("id").distinct(), "id").select("id", "pos", F.split("line", "").alias("chars"))
+    own = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # no more than a line has
+    texts = lines.join(own, "id").select("id", "pos", "line", "keys", _pieces(F.col("line")).alias("pieces"))
     dealt = members.join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("id", "pos", "block", "chars").alias("x"))
+    cells = cells.select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("id", "pos", "block", "line", F.char_length("line").alias("size"), "keys", "pieces").alias("x")
+    )
     cells = cells.groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
 
     def earlier(y: Column) -> Column:
-        def met_by(x: Column) -> Column:
+        def may_match(x: Column) -> Column:
             across = (F.col("i") == F.col("j")) | (x["block"] != y["block"])
-            close = F.abs(F.size(x["chars"]) - F.size(y["chars"])) <= max_edits
-            return across & (x["pos"] < y["pos"]) & close & within(x["chars"], y["chars"], max_edits)
-
-        return F.struct(y["id"].alias("id"), F.array_min(F.transform(F.filter("xs", met_by), lambda x: x["pos"])).alias("partner"))
+            # Lines with several common keys are compared at the least of them only.
+            here = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
+            return across & (F.abs(x["size"] - y["size"]) <= max_edits) & (x["pos"] < y["pos"]) & here
+
+        def rest(x: Column) -> Column:
+            """Both lines after their common pieces."""
+            differs = F.array_position(F.zip_with(x["pieces"], y["pieces"], lambda a, b: ~a.eqNullSafe(b)), True)
+            at = F.when(differs > 0, (differs - 1) * 16 + 1).otherwise(F.least(x["size"], y["size"]) + 1).cast("int")
+            return F.struct(x["pos"].alias("pos"), x["line"].substr(at, x["size"]).alias("a"), y["line"].substr(at, y["size"]).alias("b"))
+
+        left = F.transform(F.filter("xs", may_match), rest)
+        matched = F.filter(left, lambda r: near(r["a"], r["b"], max_edits))
+        return F.struct(y["id"].alias("id"), F.array_min(F.transform(matched, lambda r: r["pos"])).alias("partner"))
 
     found = cells.select(F.explode(F.filter(F.transform("xs", earlier), lambda r: r["partner"].isNotNull())).alias("r"))
     return found.groupBy("r.id").agg(F.min("r.partner").alias("partner"))

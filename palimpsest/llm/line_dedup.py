@@ -24,6 +24,7 @@ are passed on.
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def keys(line: Column, length: Column, max_edits: int) -> Column:
             last = min(i - 1, shorter + (max_edits + 1 - i))
             for shift in range(first, last + 1):
                 out.append(F.xxhash64(F.lit(i), indexed, F.substring(line, start + shift + 1, size)))
-    return F.array_distinct(F.array(*out))
+    return F.array(*out)
 
 
 def _automaton(a: Column, b: Column, max_edits: int) -> Column:
@@ -119,9 +120,14 @@ def _hashes(line: str = "line") -> list[Column]:
 
 
 def _release(df: DataFrame) -> None:
-    """Let Spark delete shuffle files of finished steps: it does once the driver has no reference left."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of finished steps: it does once the driver has no reference left.
+
+    The first round frees the plans, the second the shuffles that only they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def near_lines(lines: DataFrame, max_edits: int, block: int) -> DataFrame:
@@ -132,6 +138,8 @@ def near_lines(lines: DataFrame, max_edits: int, block: int) -> DataFrame:
     # Keys with the same lines do the same work: one of them is enough. A sum that rounds otherwise only keeps both.
     groups = groups.filter("low < high")
     met = written(entries.join(groups, "key"), "line-keys")
+    del entries, groups
+    _release(lines)
     chosen = met.groupBy("n", "low", "high", "lines").agg(F.min("key").alias("key")).select("key")
     members = met.join(chosen, "key").select("key", "id", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
     own = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # no more than a line has

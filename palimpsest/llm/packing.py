@@ -10,8 +10,14 @@ to be passed from task to task. When a queue runs out, one window is filled from
 what is left and the shares are renewed over the others. The last ids, fewer than
 a window, go to sequences of falling powers of two, which need no padding.
 
-Queues with a share under two ids a window share one queue, so there are at most
-``length / 2`` queues however many sources exist.
+Sources with a share under two ids a window and no target share one queue, so there
+are at most ``length / 2`` queues, and those of named sources, however many sources
+exist. The shared tape is dealt id by id over a tree of its sources (Huffman's, in
+hash buckets): at each node the first n ids are split by rounding n times the left
+share, so each source keeps its share all along, at 0.5 ids a window one id about
+every second window. Where an id lies on the tape follows from its source's way to
+the root alone. Queues under one id a window are split off a group in the same way.
+Deficits inside a tree are under three ids.
 
 Defined cases: null text is empty; null source is a source of its own; repeated
 rows are packed as often as they come; an empty table gives no piece; other
@@ -20,6 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +40,40 @@ from palimpsest.llm.shared import written
 from palimpsest.llm.tokens import default_tokenizer, encoder
 
 _ONE = 1 << 32
+#: The shared queue's sources are dealt by hash; each bucket makes its part of the tree.
+_BUCKETS = 1024
+
+
+def _scaled(m: np.ndarray, t: int, c: int, d: int) -> np.ndarray:
+    """floor((m * t + c) / d), exact: products wrap at 64 bits, but the estimate's remainder is small."""
+    q = np.floor(m * (t / d)).astype(np.int64)
+    return q + (m * np.int64(t) + np.int64(c) - q * np.int64(d)) // d
+
+
+def _ways(sizes: list[int]) -> list[list[int]]:
+    """Each leaf's way up a Huffman tree: the sizes of the nodes above, negative where it comes from the right."""
+    heap = [(n, i) for i, n in enumerate(sizes)]
+    heapq.heapify(heap)
+    above: dict[int, tuple[int, int]] = {}
+    for node in range(len(sizes), 2 * len(sizes) - 1):
+        (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+        above[left], above[right] = (node, a + b), (node, -a - b)
+        heapq.heappush(heap, (a + b, node))
+    out = []
+    for leaf in range(len(sizes)):
+        way, node = [], leaf
+        while node in above:
+            node, size = above[node]
+            way.append(size)
+        out.append(way)
+    return out
+
+
+def _climb(at: np.ndarray, size: int, way: list[int]) -> np.ndarray:
+    """Positions on the shared tape of a source's ids `at`."""
+    for t in way:
+        at, size = _scaled(2 * at + 1, abs(t), -1 if t > 0 else 0, 2 * size), abs(t)
+    return at
 
 
 class Schedule:
@@ -40,6 +81,7 @@ class Schedule:
 
     def __init__(self, totals: list[int], weights: list[float], length: int):
         self.length = length
+        self._groups: dict[bytes, tuple[np.ndarray, list[list[int]]]] = {}
         left = np.array(totals, dtype=np.int64)
         share = np.array(weights, dtype=np.float64)
         self.first: list[int] = []  # first window of each phase
@@ -75,6 +117,8 @@ class Schedule:
         self.first.append(window)
         self.base.append(done.copy())
         self.bases = np.array(self.base)
+        #: Queues that somewhere draw less than one id a window.
+        self.thin = {q for quanta in self.quanta if quanta is not None for q in np.flatnonzero((quanta > 0) & (quanta * length < _ONE)).tolist()}
 
     @staticmethod
     def _quanta(share: np.ndarray) -> np.ndarray:
@@ -83,8 +127,36 @@ class Schedule:
         out[np.argsort(-np.where(share > 0, exact - out, -1), kind="stable")[: _ONE - int(out.sum())]] += 1
         return out
 
+    def _group(self, quanta: np.ndarray) -> tuple[np.ndarray, list[list[int]]]:
+        """Queues under one id a window, with the next smallest until all draw two; their ways up a tree."""
+        if (key := quanta.tobytes()) not in self._groups:
+            order = np.argsort(quanta, kind="stable")
+            order = order[quanta[order] > 0]
+            rates = np.cumsum(quanta[order] * self.length)
+            n = int((quanta[order] * self.length < _ONE).sum())
+            members = order[: max(n, int(np.searchsorted(rates, 2 * _ONE)) + 1)] if n else order[:0]
+            self._groups[key] = members, _ways(quanta[members].tolist())
+        return self._groups[key]
+
     def drawn(self, quanta: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """Ids drawn from each queue in the first `windows` windows of a phase; exact integers."""
+        members, ways = self._group(quanta)
+        if not len(members):
+            return self._rounded(quanta, windows)
+        top = quanta.copy()
+        top[members] = 0
+        out = self._rounded(np.append(top, quanta[members].sum()), windows)
+        for q, way in zip(members.tolist(), ways, strict=True):
+            nodes = [int(quanta[q]), *map(abs, way)]
+            n = out[:, -1]
+            for k in range(len(way) - 1, -1, -1):
+                whole, part = nodes[k + 1], nodes[k]
+                n = _scaled(n, 2 * part, whole, 2 * whole) if way[k] > 0 else n - _scaled(n, 2 * (whole - part), whole, 2 * whole)
+            out[:, q] = n
+        return out[:, :-1]
+
+    def _rounded(self, quanta: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """What is drawn if no queue's quantum is under one id, else counts could fall."""
         n = windows.astype(np.uint64) * np.uint64(self.length)
         high, low, q = n >> np.uint64(32), n & np.uint64(_ONE - 1), quanta.astype(np.uint64)
         credit = low[:, None] * q
@@ -96,6 +168,33 @@ class Schedule:
         np.put_along_axis(extra, order, (np.arange(len(quanta)) < short[:, None]).astype(np.int64), axis=1)
         return whole + extra
 
+    def places(self, queue: int, tape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window and offset there of single ids of a queue's tape."""
+        window, offset = np.zeros_like(tape), np.zeros_like(tape)
+        phase = np.searchsorted(self.bases[:, queue], tape, side="right") - 1
+        for k in np.unique(phase).tolist():
+            mine = np.flatnonzero(phase == k)
+            quanta, n = self.quanta[k], self.first[k + 1] - self.first[k]
+            if quanta is None:
+                window[mine] = self.first[k]
+                offset[mine] = tape[mine] - self.bases[k, queue] + (self.bases[k + 1] - self.bases[k])[:queue].sum()
+                continue
+            rate = int(quanta[queue]) * self.length / _ONE
+            for own in np.split(mine, range(4096, len(mine), 4096)):
+                at = tape[own] - self.bases[k, queue]
+                lo = np.clip(np.floor((at - 4) / rate).astype(np.int64) - 1, 0, n - 1)
+                hi = np.clip(np.ceil((at + 4) / rate).astype(np.int64) + 2, 1, n)
+                while (hi - lo > 1).any():
+                    mid, back = np.unique((lo + hi) // 2, return_inverse=True)
+                    early = self.drawn(quanta, mid)[back, queue] <= at
+                    lo, hi = np.where(early, mid[back], lo), np.where(early, hi, mid[back])
+                now, back = np.unique(lo, return_inverse=True)
+                before = self.drawn(quanta, now)
+                ahead = (self.drawn(quanta, now + 1) - before)[:, :queue].sum(axis=1)
+                window[own] = self.first[k] + lo
+                offset[own] = ahead[back] + at - before[back, queue]
+        return window, offset
+
     def cuts(self, queue: int, start: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows that draw tape [start, stop) of a queue: number, tape position, offset there."""
         out = []
@@ -110,8 +209,8 @@ class Schedule:
                 if not quanta[queue]:
                     continue
                 rate = int(quanta[queue]) * self.length
-                lo = max(0, (max(start, int(own[k])) - int(own[k]) - 1) * _ONE // rate - 1)
-                hi = min(n, (min(stop, int(own[k + 1])) - int(own[k]) + 1) * _ONE // rate + 2)
+                lo = max(0, (max(start, int(own[k])) - int(own[k]) - 3) * _ONE // rate - 1)
+                hi = min(n, (min(stop, int(own[k + 1])) - int(own[k]) + 3) * _ONE // rate + 2)
                 before = self.drawn(quanta, np.arange(lo, hi + 1)) + self.bases[k]
             takes = np.diff(before, axis=0)
             out.append((self.first[k] + lo + np.arange(len(takes)), before[:-1, queue], takes[:, :queue].sum(axis=1)))
@@ -143,40 +242,61 @@ def _pieces(batches: Iterator[pa.RecordBatch], plan: Schedule, dtype: str, with_
         tape = batch.column("tape_base").to_numpy() + batch.column("local_start").to_numpy()
         count = batch.column("n_tokens").to_numpy()
         ids = batch.column("ids")
-        order = np.lexsort((tape, queue))
-        breaks = np.flatnonzero((np.diff(queue[order]) != 0) | (tape[order][1:] != (tape + count)[order][:-1])) + 1
-        for run in np.split(order, breaks):
-            if not len(run):
-                continue
-            begin = tape[run]
-            start, stop = int(begin[0]), int(begin[-1] + count[run[-1]])
-            window, at, offset = plan.cuts(int(queue[run[0]]), start, stop)
-            cut = np.unique(np.concatenate([begin, at[(at > start) & (at < stop)]]))
-            size = np.diff(np.append(cut, stop))
-            doc = np.searchsorted(begin, cut, side="right") - 1
-            w = np.searchsorted(at, cut, side="right") - 1
-            begins = cut - begin[doc]
+        single = batch.column("way").is_valid().to_numpy(zero_copy_only=False) | np.isin(queue, list(plan.thin))
+
+        def made(rows: np.ndarray, begins: np.ndarray, size: np.ndarray, window: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
             crc, kept, last, data = [], [], -1, None
-            for d, b, n in zip(doc.tolist(), begins.tolist(), size.tolist(), strict=True):
+            for d, b, n in zip(rows.tolist(), begins.tolist(), size.tolist(), strict=True):
                 if d != last:
-                    last, data = d, np.frombuffer(ids[int(run[d])].as_buffer(), dtype=dtype).astype("<u4")
+                    last, data = d, np.frombuffer(ids[d].as_buffer(), dtype=dtype).astype("<u4")
                 crc.append(zlib.crc32(data[b : b + n]))
                 if with_ids:
                     kept.append(data[b : b + n].tobytes())
-            rows = run[doc]
             out = {
                 "doc_id": batch.column("doc_id").take(pa.array(rows)),
                 "start": pa.array(begins, pa.int64()),
                 "length": pa.array(size, pa.int64()),
                 "ids_crc32": pa.array(crc, pa.int64()),
                 "doc_tokens": pa.array(count[rows], pa.int64()),
-                "sequence_id": pa.array(window[w], pa.int64()),
-                "offset": pa.array(offset[w] + cut - at[w], pa.int64()),
+                "sequence_id": pa.array(window, pa.int64()),
+                "offset": pa.array(offset, pa.int64()),
                 "source": batch.column("source").take(pa.array(rows)),
             }
             if with_ids:
                 out["ids"] = pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_pydict(out)
+            return pa.RecordBatch.from_pydict(out)
+
+        own = np.flatnonzero(~single)
+        order = own[np.lexsort((tape[own], queue[own]))]
+        breaks = np.flatnonzero((np.diff(queue[order]) != 0) | (tape[order][1:] != (tape + count)[order][:-1])) + 1
+        for run in np.split(order, breaks):
+            if not len(run):
+                continue
+            begin = tape[run]
+            start, stop = int(begin[0]), int(begin[-1] + count[run[-1]])
+            window, at, offset = plan.cuts(int(queue[run[0]]), start, stop)
+            cut = np.unique(np.concatenate([begin, at[(at > start) & (at < stop)]]))
+            size = np.diff(np.append(cut, stop))
+            doc = np.searchsorted(begin, cut, side="right") - 1
+            w = np.searchsorted(at, cut, side="right") - 1
+            yield made(run[doc], cut - begin[doc], size, window[w], offset[w] + cut - at[w])
+        apart = np.flatnonzero(single)
+        apart = apart[np.argsort(queue[apart], kind="stable")]
+        # Few rows at once, as each id has its numbers here.
+        for rows in np.split(apart, np.flatnonzero((np.diff(queue[apart]) != 0) | (np.diff(np.cumsum(count[apart]) >> 18) != 0)) + 1):
+            if not len(rows):
+                continue
+            places, first = [], np.cumsum(count[rows]) - count[rows]
+            for r in rows.tolist():
+                at = tape[r] + np.arange(count[r])
+                way = batch.column("way")[r].as_py()
+                places.append(at if way is None else _climb(at, batch.column("source_tokens")[r].as_py(), way))
+            window, offset = plan.places(int(queue[rows[0]]), np.concatenate(places))
+            new = (np.diff(window, prepend=-1) != 0) | (np.diff(offset, prepend=-1) != 1)
+            new[first] = True
+            cut = np.flatnonzero(new)
+            doc = np.searchsorted(first, cut, side="right") - 1
+            yield made(rows[doc], cut - first[doc], np.diff(np.append(cut, len(new))), window[cut], offset[cut])
 
 
 def pack(
@@ -191,7 +311,8 @@ def pack(
 
     `mixture` gives target weights by source; without it the targets are the
     sources' shares of all ids, so every queue lasts to the last window. Sources
-    that it doesn't name keep their share.
+    that it doesn't name keep their share. Named sources have queues of their own,
+    however small they are; names that no document has are ignored.
     """
     path = tokenizer or default_tokenizer()
     dtype = encoder(path).dtype.str
@@ -207,29 +328,36 @@ def pack(
     columns = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
     if not total:
         return spark.createDataFrame([], columns)
-    # At most length / 2 rows can pass this filter.
-    large = sorted(by_source.filter(F.col("n") * length >= 2 * total).collect(), key=lambda r: (r.source is None, r.source))
-    names, totals = [r.source for r in large], [r.n for r in large]
-    rest = total - sum(totals)
-    if rest and totals and rest * length < 2 * total:
-        totals[int(np.argmin(totals))] += rest
-    elif rest:
-        names, totals = [*names, None], [*totals, rest]
-    other = int(np.argmin(totals)) if rest * length < 2 * total else len(totals) - 1
-    weights = [t / total for t in totals]
-    if mixture:
-        weights = [mixture.get(n, w) if n is not None else w for n, w in zip(names, weights, strict=True)]
-        if min(weights) * length < 2 * sum(weights):
-            raise ValueError("a source's target is under two ids a window")
+    mixture = mixture or {}
+    if any(w <= 0 for w in mixture.values()):
+        raise ValueError("a source's target is not positive")
+    named = F.when(F.col("source").isNull(), None in mixture).otherwise(F.col("source").isin([n for n in mixture if n is not None]))
+    # Besides the named ones, at most length / 2 rows can pass this filter.
+    large = sorted(by_source.filter((F.col("n") * length >= 2 * total) | named).collect(), key=lambda r: (r.source is None, r.source))
+    totals = [r.n for r in large]
+    weights = [mixture.get(r.source, r.n / total) for r in large]
+    queues = spark.createDataFrame([(r.source, i) for i, r in enumerate(large)], "source string, queue int")
+    ways = spark.createDataFrame([], "source string, source_tokens long, way array<long>")
+    if rest := total - sum(totals):
+        totals, weights = [*totals, rest], [*weights, rest / total]
+        bucket = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(_BUCKETS))
+        small = by_source.join(F.broadcast(queues), by_source.source.eqNullSafe(queues.source), "left_anti").withColumn("bucket", bucket)
+        sizes = sorted((r.bucket, r.n) for r in small.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+        above = dict(zip([b for b, _ in sizes], _ways([n for _, n in sizes]), strict=True))
+
+        def nest(table: pa.Table) -> pa.Table:
+            table = table.sort_by("source")
+            own = [w + above[table.column("bucket")[0].as_py()] for w in _ways(table.column("n").to_pylist())]
+            return pa.table({"source": table.column("source"), "source_tokens": table.column("n"), "way": pa.array(own, pa.list_(pa.int64()))})
+
+        ways = small.groupBy("bucket").applyInArrow(nest, ways.schema)
     plan = Schedule(totals, weights, length)
-    queues = spark.createDataFrame([(r.source, i) for i, r in enumerate(large)] or [("", -1)], "source string, queue int")
-    queued = sums.join(F.broadcast(queues), sums.source.eqNullSafe(queues.source), "left").select(
-        "part", sums.source, "n", F.when(F.coalesce("queue", F.lit(-1)) >= 0, F.col("queue")).otherwise(other).alias("queue")
-    )
-    before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    bases = queued.select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tape_base"))
+    queued = sums.join(F.broadcast(queues), sums.source.eqNullSafe(queues.source), "left").select("part", sums.source, "n", F.coalesce("queue", F.lit(len(large))).alias("queue"))
+    queued = queued.join(ways, queued.source.eqNullSafe(ways.source), "left").drop(ways.source)
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = queued.select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", "source_tokens", "way", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("tape_base"))
     # Written first, so that the planner knows its size: small, it is broadcast and the ids are not shuffled.
     bases = written(bases, "packing-bases")
     placed = tokens.join(bases, (tokens.part == bases.p) & tokens.source.eqNullSafe(bases.s))
-    placed = placed.select("doc_id", "source", "queue", "tape_base", "local_start", "n_tokens", "ids")
+    placed = placed.select("doc_id", "source", "queue", "source_tokens", "way", "tape_base", "local_start", "n_tokens", "ids")
     return placed.mapInArrow(lambda b: _pieces(b, plan, dtype, with_ids), columns)

@@ -120,3 +120,59 @@ def test_mixture_argument(sample):
     pieces = packing.pack(docs, mixture={s: (5.0 if s == sources[0] else 1.0) for s in sources}).collect()
     head = [p for p in pieces if p.sequence_id == 0]
     assert abs(sum(p.length for p in head if p.source == sources[0]) - 1024 * 5 / (len(sources) + 4)) < 2
+
+
+def windows_of(pieces):
+    """{window: {source: ids}}; every window is filled without gaps."""
+    out, at = {}, {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == at.get(p.sequence_id, 0)
+        at[p.sequence_id] = p.offset + p.length
+        own = out.setdefault(p.sequence_id, {})
+        own[p.source] = own.get(p.source, 0) + p.length
+    return out
+
+
+@pytest.mark.parametrize("large", [0, 2])
+def test_packing_mixes_small_sources(spark, large):
+    rows = [(i, f"tail{i % 600}" if i % 600 else None, "some words of a small source " * (2 + i % 3)) for i in range(1800)]
+    rows += [(10_000 + i, f"large{i % 2}", "words of a large source " * 5000) for i in range(10 * large)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3), with_ids=True).collect()
+    whole = {}
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == len(whole.setdefault(p.doc_id, b"")) // 4
+        whole[p.doc_id] += p.ids
+    assert whole == {i: np.array([*exact(t), 0], "<u4").tobytes() for i, _, t in rows}
+    total, share = sum(p.length for p in pieces), {}
+    for p in pieces:
+        share[p.source] = share.get(p.source, 0) + p.length
+    drawn, windows = dict.fromkeys(share, 0), windows_of(pieces)
+    full = [w for w in sorted(windows) if sum(windows[w].values()) == 1024]
+    assert len(full) == total // 1024
+    for k, w in enumerate(full, 1):
+        for s in share:
+            drawn[s] += windows[w].get(s, 0)
+            assert abs(drawn[s] - k * 1024 * share[s] / total) < 3
+
+
+def test_mixture_names_small_sources(spark):
+    rows = [(i, "large", "words of a large source " * 4000) for i in range(12)] + [(100, "up", "a few words " * 40), (101, "down", "a few words " * 30), (102, "rest", "unnamed")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    windows = windows_of(packing.pack(docs, mixture={"large": 0.9, "up": 0.1, "down": 0.0005}).collect())
+    assert all(abs(windows[w].get("up", 0) - 1024 * 0.1 / 1.0005) < 2 for w in (0,))
+    assert abs(sum(windows[w].get("down", 0) for w in range(40)) - 40 * 1024 * 0.0005) < 4
+    with pytest.raises(ValueError):
+        packing.pack(docs, mixture={"up": 0.0})
+
+
+def test_schedule_under_one_id_a_window():
+    totals, weights = [500_000, 40, 700, 9], [0.99, 0.0002, 0.009, 0.00001]
+    plan = packing.Schedule(totals, weights, 1024)
+    got = np.diff(plan.bases, axis=0)
+    assert (got >= 0).all() and got.sum(axis=0).tolist() == totals
+    steps = np.diff(plan.drawn(plan.quanta[0], np.arange(400)), axis=0)
+    assert (steps >= 0).all() and (steps.sum(axis=1) == 1024).all()
+    seen = set()
+    for queue, total in enumerate(totals):
+        seen |= set(zip(*(x.tolist() for x in plan.places(queue, np.arange(total))), strict=True))
+    assert len(seen) == sum(totals)

@@ -9,7 +9,8 @@ with five of six values). Texts that share a prefix are candidates.
 Candidates are never listed as pairs. Each prefix links its members to its least
 member, components of those links are found, and a component is verified in
 cells of two blocks of at most about `block` texts: one task holds two blocks,
-computes all intersections by matrix products, and returns one row per text with
+computes all intersections by matrix products, counts every pair at the threshold
+as a link, whether the pair itself shares a prefix or not, and returns one row per text with
 its number of links and one link of a spanning forest. A component larger than a
 block is dealt over many cells, so no task grows with a group.
 
@@ -111,15 +112,10 @@ def _verify(table: pa.Table, threshold: float, n: int) -> pa.Table:
     rows = table.column("row").to_numpy()
     weight = table.column("copies").to_numpy()
     block = table.column("block").to_numpy()
-    keys = np.array(table.column("keys").combine_chunks().flatten() if len(rows) else [], dtype=np.int64).reshape(len(rows), -1)
     sets, bounds = distinct(*shingle_hashes([t.encode() for t in table.column("text").to_pylist()], n))
     size = np.diff(bounds)
     both = _intersections(sets, bounds)
     near = both >= threshold * (size[:, None] + size - both) - 1e-9
-    met = np.zeros_like(near)
-    for t in range(keys.shape[1]):
-        met |= keys[:, t][:, None] == keys[:, t]
-    near &= met
     np.fill_diagonal(near, False)
     if block[0] != block[-1] or (block != block[0]).any():  # a cell of two blocks: only pairs across
         near &= block[:, None] != block
@@ -141,14 +137,14 @@ def _classes(signed: DataFrame, threshold: float, n: int, block: int) -> DataFra
     least = prefixes.groupBy("tree", "key").agg(F.min("row").alias("least"), F.count("*").alias("n")).filter("n > 1")
     met = prefixes.join(least, ["tree", "key"]).filter("row != least").select(F.col("row").alias("a"), F.col("least").alias("b")).distinct()
     parts = components(met)
-    members = signed.select("row", "n_shingles", "keys", "text").join(parts.select(F.col("node").alias("row"), F.col("root").alias("part")), "row")
+    members = signed.select("row", "n_shingles", "text").join(parts.select(F.col("node").alias("row"), F.col("root").alias("part")), "row")
     members = members.join(reps.select("row", "copies"), "row")
     sizes = parts.join(signed.select(F.col("row").alias("node"), "n_shingles"), "node").groupBy(F.col("root").alias("part")).agg(
         F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n_shingles") / F.lit(4000 * block))).cast("int").alias("n_blocks")
     )
     dealt = members.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    cells = cells.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "copies", "block", "keys", "text")
+    cells = cells.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "row", "copies", "block", "text")
     found = written(cells.groupBy("part", "i", "j").applyInArrow(lambda t: _verify(t, threshold, n), "row long, links long, root long"), "links")
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("row").alias("a"), F.col("root").alias("b")))

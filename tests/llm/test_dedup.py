@@ -75,6 +75,17 @@ def test_join_equals_brute_force(spark, sample, block):
     assert {r.doc_id for r in ngram_join.keep_one(df, block=block).collect()} == set(classes)
 
 
+@pytest.mark.parametrize("block", [512, 7])
+def test_join_counts_links_without_a_common_prefix(spark, block):
+    draw, words = random.Random(8), [f"v{i}" for i in range(120)]
+    texts = [" ".join(w if k != at else f"n{i}" for k, w in enumerate(words)) for i, at in enumerate(draw.choices(range(120), k=60))]
+    classes, links = brute_join(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Few short prefixes: the group is one component, but many of its pairs share none.
+    found = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(df, trees=4, depth=4, recall=0.85, block=block).collect()}
+    assert found == {i: (classes[i], links[i]) for i in range(len(texts))}
+
+
 def test_join_cases(odd_docs, no_docs):
     found = [(r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(odd_docs).collect()]
     assert len(found) == odd_docs.count()

@@ -109,6 +109,7 @@ def _roots(m: int, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> np
 
 
 def _verify(table: pa.Table, threshold: float, n: int) -> pa.Table:
+    i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
     rows = table.column("row").to_numpy()
     weight = table.column("copies").to_numpy()
     block = table.column("block").to_numpy()
@@ -117,7 +118,7 @@ def _verify(table: pa.Table, threshold: float, n: int) -> pa.Table:
     both = _intersections(sets, bounds)
     near = both >= threshold * (size[:, None] + size - both) - 1e-9
     np.fill_diagonal(near, False)
-    if block[0] != block[-1] or (block != block[0]).any():  # a cell of two blocks: only pairs across
+    if i != j:  # a cell of two blocks, even if one is empty: only pairs across
         near &= block[:, None] != block
     linked = near.any(axis=1)
     left, right = np.nonzero(np.triu(near))

@@ -86,6 +86,13 @@ def test_join_counts_links_without_a_common_prefix(spark, block):
     assert found == {i: (classes[i], links[i]) for i in range(len(texts))}
 
 
+def test_join_counts_once_beside_an_empty_block(spark):
+    # Two blocks a pair: in about half of the 24 pairs both texts are dealt to one of them.
+    rows = [(2 * p + v, " ".join(f"p{p}w{i}" for i in range(80)) + " end" * v) for p in range(24) for v in (0, 1)]
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), block=1).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == {i: (i - i % 2, 1) for i, _ in rows}
+
+
 def test_join_cases(odd_docs, no_docs):
     found = [(r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(odd_docs).collect()]
     assert len(found) == odd_docs.count()

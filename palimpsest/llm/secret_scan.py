@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.shared import fresh_path
 
 #: Bump with any change to the patterns: earlier blobs are then scanned anew.
-RULES_VERSION = 1
+RULES_VERSION = 2
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -36,7 +36,7 @@ _ADDED = (
     ("private_key", "PRIVATE KEY", re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")),
     ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     ("forge_token", "gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{30,}")),
-    ("url_login", "://", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[A-Za-z0-9.-]+")),
+    ("url_login", "://", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@[A-Za-z0-9.-]+")),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in _ADDED))
 

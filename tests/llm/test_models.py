@@ -214,3 +214,8 @@ def test_language_model_base(request, sample, which):
     if which == "sample":
         out = [r for r in rows if r.held_out]
         assert sum(r.score for r in out) > 1.02 * sum(r.base_score for r in out)
+
+
+def test_long_url_logins():
+    text = f"clone https://{'u' * 70}:{'t' * 93}@forge.example/x now"
+    assert [(k, a, b) for a, k, b in secret_scan.find_spans(text) if secret_scan.KINDS[k] == "url_login"] == [(6, 6, text.index("/x"))]

@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash in fixed bands, then exact verification.
 
 A text is the set of its five-word shingles. Texts with equal sets collapse into
-one representative. The forest has `trees` prefix tries of `depth` MinHash values
-each; prefixes are shortened from the full depth until the chance that a pair at
-the threshold shares a prefix in some tree reaches `recall` (24 trees reach 0.9999 at 0.8
+one representative. It has `trees` bands of `depth` MinHash values, of which the
+same prefix is used for all texts: the longest with which the chance that a pair at
+the threshold shares it in some band reaches `recall` (24 bands reach 0.9999 at 0.8
 with five of six values). Texts that share a prefix are candidates.
 
 Candidates are never listed as pairs. Each prefix links its members to its least

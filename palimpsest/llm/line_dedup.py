@@ -1,30 +1,32 @@
 """Line dedup by a segment-partition edit join, in DataFrame operations only.
 
-A line goes if it equals an earlier line, or if an earlier line is within
-`max_edits` character edits and both have at least `min_chars` characters. Earlier
-means a smaller (id, line number); ids that are null come last.
-
-The edit join splits a line into `max_edits` + 1 even segments. Two lines within
-`max_edits` edits share a segment of the shorter one, shifted by no more than the
-edits left and right of it allow, so each line is indexed by its own segments and probes with its
-substrings at just those shifts, for its own length and each shorter one that the
-edits can bridge. Lines that share a key are verified by a banded bit-parallel
-automaton: one bit per diagonal and edit count, advanced over the characters.
-
-Keys with a single line are dropped by counting, keys with the same lines collapse to
-one, and a key with many lines is dealt over cells of two blocks of about `block` lines,
-verified inside the cell; a cell returns one row per line to drop, never pairs.
+A line goes if it equals an earlier line, or if an earlier line is within the edits
+that the shorter of the two allows: one per `per_edit` characters, at most
+`max_edits`. Earlier means a smaller (id, line number); ids that are null come last.
+
+The edit join splits a line into one segment more than its edits. For two lines
+within d edits there is a segment i of the shorter one which occurs unchanged in the
+other, with at most i - 1 edits to its left and d + 1 - i to its right; this bounds
+its shift, so each line yields its own segments and its substrings at just those shifts, for its own
+length and each shorter one that the edits can bridge. Keys with a single distinct
+line are dropped by counting, before any text moves. A key with more than `most`
+lines is split further: the same rule holds for what is left beside the segment, so its
+lines get the keys of that rest, level by level. Lines that share a last key are verified by a
+banded bit-parallel automaton: one bit per diagonal and edit count, advanced over
+the characters. A key is dealt over cells of two blocks of at most about `block`
+lines and `cell_chars` characters; a cell returns lines to drop, never pairs.
 
 Defined cases: null texts stay null and have no line; blank lines stay; rows with
 the same id and text are one document, and none of them loses lines to another;
-texts that share an id are kept apart; an empty table gives no rows; other columns
+texts that share an id are kept apart; texts and lines of any length are read
+whole (a line over `cell_chars` has cells with few others); of equal lines the one
+with the smallest (id, hash of the text, line number) stays; an empty table gives no rows; other columns
 are passed on.
 """
 
 from __future__ import annotations
 
-import gc
-import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.shared import written
 
 _TEXT_KEY = "xxhash64(text)"
+#: Lines within d edits differ by at most d in the number of characters of each of these sets.
+_COUNTED = ("ae", "io", "tn", "sr", "lhd", "cum", "0123456789", " .,;:-")
 
 
 def segments(length: Column, count: int) -> list[tuple[Column, Column]]:
@@ -44,17 +48,48 @@ def segments(length: Column, count: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def keys(line: Column, length: Column, max_edits: int) -> Column:
-    """Hashes of (segment, indexed length, substring): the line's own segments and all its probes."""
-    out = []
-    for shorter in range(max_edits + 1):
-        indexed = length - shorter
-        for i, (start, size) in enumerate(segments(indexed, max_edits + 1), 1):
-            first = max(-(i - 1), shorter - (max_edits + 1 - i))
-            last = min(i - 1, shorter + (max_edits + 1 - i))
-            for shift in range(first, last + 1):
-                out.append(F.xxhash64(F.lit(i), indexed, F.substring(line, start + shift + 1, size)))
-    return F.array(*out)
+def rest_keys(text: Column, length: Column, extra: Column | int, edits: int, salt: Column, at: Column | None = None) -> list[Column]:
+    """Keys of a text that is `extra` longer than its partners, which differ by at most `edits`.
+
+    With `at`, the text's place in its line, each is a struct of the key, what
+    is left to compare (at, size, extra) and the edits left for it; else the key alone.
+    """
+    indexed, out = length - extra, []
+    for i, (start, size) in enumerate(segments(indexed, edits + 1), 1):
+        for shift in range(-(i - 1), i):
+            after = edits + 1 - i
+            if isinstance(extra, int) and abs(shift - extra) > after:
+                continue
+            begin = start + shift
+            key = F.xxhash64(salt, F.lit(i), indexed, F.substring(text, begin + 1, size))
+            if at is not None:
+                left = i == edits + 1
+                key = F.struct(
+                    key.alias("key"),
+                    (at if left else at + begin + size).cast("int").alias("at"),
+                    (begin if left else length - begin - size).cast("int").alias("size"),
+                    (F.lit(shift) if left else F.lit(extra - shift) if isinstance(extra, int) else extra - shift).cast("int").alias("extra"),
+                    F.lit(edits if i in (1, edits + 1) else after).alias("edits"),
+                )
+            if not isinstance(extra, int):
+                key = F.when(F.abs(extra - shift) <= after, key)
+            out.append(key)
+    return out
+
+
+def keys(line: Column, max_edits: int, per_edit: int, whole: bool = False) -> Column:
+    """A line's keys for every length and number of edits of its partners; null where a line has none of a kind."""
+    length, salt, all_of, some_of = F.char_length(line), F.lit(0), [], []
+    for edits in range(max_edits, 0, -1):
+        for extra in range(edits + 1):
+            own = rest_keys(line, length, extra, edits, salt, F.lit(0) if whole else None)
+            fits = length - extra >= edits * per_edit
+            if edits < max_edits:
+                fits &= length - extra < (edits + 1) * per_edit
+            else:
+                all_of += own
+            some_of += [F.when(fits, k) for k in own]
+    return F.when(length >= max_edits * (per_edit + 1), F.array(*all_of)).otherwise(F.array(*some_of))
 
 
 def _automaton(a: Column, b: Column, max_edits: int) -> Column:
@@ -90,102 +125,116 @@ def _chars(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def within(a: Column, b: Column, max_edits: int) -> Column:
-    """Whether arrays of characters differ by at most `max_edits` edits (their sizes by no more)."""
-    bit = F.size(a) - F.size(b) + (max_edits + (2 * max_edits + 1) * max_edits)
-    return F.getbit(_automaton(a, b, max_edits), bit) == 1
+def within(a: Column, b: Column, max_edits: int, edits: Column | int | None = None) -> Column:
+    """Whether arrays of characters differ by at most `edits` edits (`max_edits` by default, and never more)."""
+    diagonal = F.size(a) - F.size(b) + max_edits
+    width = 2 * max_edits + 1
+    row = F.lit(max_edits if edits is None else edits)
+    inside = (diagonal >= 0) & (diagonal < width)
+    return inside & (F.getbit(_automaton(a, b, max_edits), F.when(inside, diagonal).otherwise(0) + row * width) == 1)
 
 
-def near(a: Column, b: Column, max_edits: int, window: int = 24) -> Column:
-    """`within` for strings; the first characters alone end most comparisons."""
-    heads = _automaton(_chars(F.substring(a, 1, window + max_edits)), _chars(F.substring(b, 1, window)), max_edits)
-    return (heads != 0) & within(_chars(a), _chars(b), max_edits)
+def _once(a: Column, b: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """`test` of both, bound to variables: a lambda that held the expressions would evaluate them at every step."""
+    return F.exists(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: test(p["a"], p["b"]))
 
 
-def _pieces(line: Column, size: int = 16) -> Column:
-    """Hashes of the line's pieces of `size` characters."""
-    starts = F.sequence(F.lit(0), F.floor((F.char_length(line) - 1) / size).cast("int"))
-    return F.transform(starts, lambda i: F.xxhash64(F.substring(line, i * size + 1, F.lit(size))))
+def near(a: Column, b: Column, max_edits: int, edits: Column | int | None = None, window: int = 24) -> Column:
+    """`within` for strings; the first characters alone end most comparisons."""
+    heads = _once(_chars(F.substring(a, 1, window + max_edits)), _chars(F.substring(b, 1, window)), lambda x, y: _automaton(x, y, max_edits) != 0)
+    return heads & _once(_chars(a), _chars(b), lambda x, y: within(x, y, max_edits, edits))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with a word: pos (none, doc_id, text_key, line_no) and line."""
+    """Every line with a word: pos (none, doc_id, text_key, line_no), line and its two hashes."""
     given = docs.select("doc_id", F.expr(_TEXT_KEY).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     given = given.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return given.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line_no").alias("pos"), "line")
-
-
-def _hashes(line: str = "line") -> list[Column]:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
-
-
-def _release(df: DataFrame) -> None:
-    """Let Spark delete shuffle files of finished steps: it does once the driver has no reference left.
-
-    The first round frees the plans, the second the shuffles that only they held.
-    """
-    for _ in range(2):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
-def near_lines(lines: DataFrame, max_edits: int, block: int) -> DataFrame:
-    """Of distinct lines (id, pos, line): (id, partner), the first earlier line within the edits."""
-    length = F.char_length("line")
-    entries = lines.select("id", F.explode(keys(F.col("line"), length, max_edits)).alias("key")).repartition("key")
-    groups = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.xxhash64("id").cast("double")).alias("lines"))
-    # Keys with the same lines do the same work: one of them is enough. A sum that rounds otherwise only keeps both.
-    groups = groups.filter("low < high")
-    met = written(entries.join(groups, "key"), "line-keys")
-    del entries, groups
-    _release(lines)
-    chosen = met.groupBy("n", "low", "high", "lines").agg(F.min("key").alias("key")).select("key")
-    members = met.join(chosen, "key").select("key", "id", F.ceil(F.col("n") / block).cast("int").alias("n_blocks"))
-    own = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # no more than a line has
-    texts = lines.join(own, "id").select("id", "pos", "line", "keys", _pieces(F.col("line")).alias("pieces"))
-    dealt = members.join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    cells = cells.select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("id", "pos", "block", "line", F.char_length("line").alias("size"), "keys", "pieces").alias("x")
+    pos = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line_no").alias("pos")
+    return given.select(pos, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def _split_hot(members: DataFrame, texts: DataFrame, max_edits: int, per_edit: int, most: int, levels: int) -> DataFrame:
+    """(key, h1, h2, n) of keys with at most `most` lines, as far as `levels` of splitting get there."""
+    sized = members.groupBy("key").agg(F.count("*").alias("n"))
+    done = members.join(sized.filter((F.col("n") > 1) & (F.col("n") <= most)), "key").select("key", "h1", "h2", "n")
+    hot = sized.filter(F.col("n") > most)
+    if hot.isEmpty():
+        return done
+    first = F.element_at(keys(F.col("line"), max_edits, per_edit, True), F.col("kind") + 1)
+    now = members.join(hot, "key").join(texts.select("h1", "h2", "line"), ["h1", "h2"])
+    now = now.select("key", "n", "h1", "h2", first.alias("left")).select("key", "n", "h1", "h2", "left.at", "left.size", "left.extra", "left.edits")
+    for _ in range(levels):
+        now = written(now, "line-hot")
+        # A rest as short as a few characters has no segments that tell lines apart.
+        fine = F.col("size") - F.col("extra") > 2 * F.col("edits") + 1
+        done = done.unionByName(now.filter(~fine).select("key", "h1", "h2", "n").distinct())
+        rest = now.filter(fine).join(texts.select("h1", "h2", "line"), ["h1", "h2"]).withColumn("rest", F.col("line").substr(F.col("at") + 1, F.col("size")))
+        options = [F.when(F.col("edits") == e, F.array(*rest_keys(F.col("rest"), F.col("size"), F.col("extra"), e, F.col("key"), F.col("at")))) for e in range(max_edits, 0, -1)]
+        rest = rest.select("h1", "h2", F.explode(F.coalesce(*options)).alias("x")).filter("x is not null").select("h1", "h2", "x.*").distinct()
+        split = written(rest, "line-split")
+        sized = split.select("key", "h1", "h2").distinct().groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        split = split.join(sized, "key")
+        done = done.unionByName(split.filter(F.col("n") <= most).select("key", "h1", "h2", "n").distinct())
+        now = split.filter(F.col("n") > most)
+        if now.isEmpty():
+            return done
+    return done.unionByName(now.select("key", "h1", "h2", "n").distinct())
+
+
+def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block: int = 32, most: int = 64, levels: int = 4, cell_chars: int = 1 << 20) -> DataFrame:
+    """Hashes (h1, h2) of the lines with an earlier line within the edits."""
+    long = lines.filter(F.char_length("line") >= per_edit)
+    entries = long.select("h1", F.explode(keys(F.col("line"), max_edits, per_edit)).alias("key")).filter("key is not null")
+    shared = written(entries.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"), "line-keys")
+    entries = long.select("h1", "h2", F.posexplode(keys(F.col("line"), max_edits, per_edit)).alias("kind", "key")).filter("key is not null")
+    members = written(entries.join(shared, "key").distinct(), "line-members")
+    some = members.select("h1", "h2").distinct()
+    texts = long.join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
+    size = F.char_length("line")
+    counts = [(size - F.char_length(F.translate("line", chars, ""))).alias(f"c{k}") for k, chars in enumerate(_COUNTED)]
+    texts = written(texts.select("h1", "h2", "pos", "line", size.alias("size"), F.least(F.lit(max_edits), F.floor(size / per_edit).cast("int")).alias("edits"), *counts), "line-texts")
+    members = written(_split_hot(members, texts, max_edits, per_edit, most, levels), "line-groups")
+    # Keys with the same lines do the same work: one of them is enough.
+    same = members.join(texts.select("h1", "h2", "size"), ["h1", "h2"]).groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("size").alias("chars"), F.min("h1").alias("low"), F.bit_xor("h1").alias("x"), F.sum(F.col("h2").cast("decimal(20,0)")).alias("s")
     )
-    cells = cells.groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
-
-    def earlier(y: Column) -> Column:
-        def may_match(x: Column) -> Column:
-            across = (F.col("i") == F.col("j")) | (x["block"] != y["block"])
-            # Lines with several common keys are compared at the least of them only.
-            here = F.array_min(F.array_intersect(x["keys"], y["keys"])) == F.col("key")
-            return across & (F.abs(x["size"] - y["size"]) <= max_edits) & (x["pos"] < y["pos"]) & here
+    n_blocks = F.greatest(F.when(F.max("n") <= most, 1).otherwise(F.ceil(F.max("n") / block)), F.ceil(F.max("chars") / cell_chars)).cast("int")
+    chosen = same.filter("n > 1").groupBy("n", "low", "x", "s").agg(F.min("key").alias("key"), n_blocks.alias("n_blocks")).select("key", "n_blocks")
+    dealt = members.select("key", "h1", "h2").join(chosen, "key").join(texts, ["h1", "h2"]).withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("n_blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    line = F.struct("h1", "h2", "pos", "block", "line", "size", "edits", *[f"c{k}" for k in range(len(_COUNTED))]).alias("x")
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), line).groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
 
-        def rest(x: Column) -> Column:
-            """Both lines after their common pieces."""
-            differs = F.array_position(F.zip_with(x["pieces"], y["pieces"], lambda a, b: ~a.eqNullSafe(b)), True)
-            at = F.when(differs > 0, (differs - 1) * 16 + 1).otherwise(F.least(x["size"], y["size"]) + 1).cast("int")
-            return F.struct(x["pos"].alias("pos"), x["line"].substr(at, x["size"]).alias("a"), y["line"].substr(at, y["size"]).alias("b"))
+    def has_earlier(y: Column) -> Column:
+        def matches(x: Column) -> Column:
+            edits = F.least(x["edits"], y["edits"])
+            fits = F.abs(x["size"] - y["size"]) <= edits
+            for k in range(len(_COUNTED)):
+                fits &= F.abs(x[f"c{k}"] - y[f"c{k}"]) <= edits
+            fits &= (F.col("i") == F.col("j")) | (x["block"] != y["block"])
+            return fits & (x["pos"] < y["pos"]) & near(x["line"], y["line"], max_edits, edits)
 
-        left = F.transform(F.filter("xs", may_match), rest)
-        matched = F.filter(left, lambda r: near(r["a"], r["b"], max_edits))
-        return F.struct(y["id"].alias("id"), F.array_min(F.transform(matched, lambda r: r["pos"])).alias("partner"))
+        return F.exists("xs", matches)
 
-    found = cells.select(F.explode(F.filter(F.transform("xs", earlier), lambda r: r["partner"].isNotNull())).alias("r"))
-    return found.groupBy("r.id").agg(F.min("r.partner").alias("partner"))
+    return cells.select(F.explode(F.filter("xs", has_earlier)).alias("y")).select("y.h1", "y.h2").distinct()
 
 
-def decide(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, block: int = 32) -> DataFrame:
+def decide(docs: DataFrame, max_edits: int = 2, per_edit: int = 10, **tuning: int) -> DataFrame:
     """Lines to drop, grouped: doc_id, text_key, exact and near (line numbers)."""
-    first = _lines(docs).groupBy("line").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
-    first = written(first.select(F.monotonically_increasing_id().alias("id"), "pos", "n", "line"), "lines")
-    _release(docs)
-    near = written(near_lines(first.filter(F.char_length("line") >= min_chars).select("id", "pos", "line"), max_edits, block), "near-lines")
-    _release(docs)
-    rules = first.select("id", F.col("pos").alias("first"), "n", *_hashes()).join(near, "id", "left").filter("n > 1 or partner is not null")
-    seen = _lines(docs).select("pos", *_hashes())
-    dropped = seen.join(rules, ["h1", "h2"]).filter("partner is not null or pos > first")
-    dropped = dropped.select("pos.doc_id", "pos.text_key", "pos.line_no", (F.col("pos") > F.col("first")).alias("again"))
-    return dropped.groupBy("doc_id", "text_key").agg(
+    if not 0 < max_edits <= 3:
+        raise ValueError("max_edits must be 1 to 3: the automaton's state is one 32-bit integer")
+    lines = _lines(docs)
+    copies = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    close = near_lines(lines, max_edits, per_edit, **tuning).withColumn("close", F.lit(True))
+    # Written first, so that the planner knows their sizes.
+    rules = written(copies.join(close, ["h1", "h2"], "full"), "line-rules")
+    again = F.coalesce(F.col("pos") > F.col("first"), F.lit(False))
+    dropped = lines.select("pos", "h1", "h2").join(rules, ["h1", "h2"]).filter(F.col("close") | again)
+    dropped = dropped.select("pos.doc_id", "pos.text_key", "pos.line_no", again.alias("again"))
+    dropped = dropped.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.when(F.col("again"), F.col("line_no")))).alias("exact"), F.array_sort(F.collect_set(F.when(~F.col("again"), F.col("line_no")))).alias("near")
     )
+    return written(dropped, "line-drops")
 
 
 def _joined(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -194,16 +243,19 @@ def _joined(docs: DataFrame, drops: DataFrame) -> DataFrame:
     same = given.doc_id.eqNullSafe(drops.drop_id) & (given.text_key == drops.drop_key)
     none = F.array().cast("array<int>")
     out = given.join(drops, same, "left").withColumn("exact", F.coalesce("exact", none)).withColumn("near", F.coalesce("near", none))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("exact", i) & ~F.array_contains("near", i)), "\n")
+    # Compared as sets of numbers, so a text with very many dropped lines is rebuilt in one pass.
+    lines, gone = F.split("text", "\n"), F.array_union("exact", "near")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     return out.withColumn("kept", F.when(F.size("exact") + F.size("near") == 0, F.col("text")).otherwise(kept))
 
 
-def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, block: int = 32) -> DataFrame:
+def dedup(docs: DataFrame, max_edits: int = 2, per_edit: int = 10, **tuning: int) -> DataFrame:
     """The documents with all their columns, `text` without dropped lines; n_chars follows the text where it exists.
 
     A document that loses its last line with a word is a copy of earlier ones and goes.
     """
-    out = _joined(docs, decide(docs, max_edits, min_chars, block))
+    out = _joined(docs, decide(docs, max_edits, per_edit, **tuning))
     lost = (F.size("exact") + F.size("near") > 0) & ~F.col("kept").rlike(r"[^\x20\x09-\x0D]")
     out = out.filter(~F.coalesce(lost, F.lit(False)))
 
@@ -217,9 +269,9 @@ def dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, block: int =
     return out.select(*map(column, docs.columns))
 
 
-def report(docs: DataFrame, max_edits: int = 2, min_chars: int = 20, block: int = 32) -> DataFrame:
+def report(docs: DataFrame, max_edits: int = 2, per_edit: int = 10, **tuning: int) -> DataFrame:
     """Per document: doc_id, n_lines, n_exact, n_near (lines dropped), text (what stays)."""
-    out = _joined(docs, decide(docs, max_edits, min_chars, block))
+    out = _joined(docs, decide(docs, max_edits, per_edit, **tuning))
     return out.select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),

@@ -70,12 +70,12 @@ _SHINGLES = """SELECT {id}, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w)
 _LINE_DEDUP = r"""WITH line AS (SELECT doc_id, unnest(range(len(l))) AS no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
  word AS (SELECT * FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
  first AS (SELECT line, arg_min(doc_id, (doc_id, no)) AS d, arg_min(no, (doc_id, no)) AS no, length(line) AS n FROM word GROUP BY line),
- long AS (SELECT *, n // 3 AS third FROM first WHERE n >= 20),
+ long AS (SELECT *, least(2, n // 10) AS edits, n // 3 AS third FROM first WHERE n >= 10),
  -- Two edits leave one of three parts of the shorter line whole, so lines that share none need no comparison.
  near AS (SELECT DISTINCT CASE WHEN (a.d, a.no) < (b.d, b.no) THEN b.line ELSE a.line END AS line FROM long a JOIN long b
    ON b.n IN (a.n, a.n + 1, a.n + 2) AND a.line != b.line
    AND (starts_with(b.line, left(a.line, a.third)) OR ends_with(b.line, right(a.line, a.third)) OR contains(b.line, substr(a.line, a.third + 1, a.n - 2 * a.third)))
-   AND levenshtein(a.line, b.line) <= 2),
+   AND levenshtein(a.line, b.line) <= a.edits),
  mark AS (SELECT word.*, (word.doc_id, word.no) > (first.d, first.no) AS again, near.line IS NOT NULL AS close FROM word JOIN first USING (line) LEFT JOIN near USING (line)),
  gone AS (SELECT * FROM mark WHERE again OR close)
  SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines, coalesce(g.n_exact, 0) AS n_exact, coalesce(g.n_near, 0) AS n_near, coalesce(k.text, '') AS text

@@ -38,58 +38,58 @@ _TEXT_KEY = "xxhash64(text)"
 _COUNTED = ("ae", "io", "tn", "sr", "lhd", "cum", "0123456789", " .,;:-")
 
 
-def segments(length: Column, count: int) -> list[tuple[Column, Column]]:
-    """(start, size) of `count` even segments; the last ones take the remainder."""
-    base, rest = F.floor(length / count).cast("int"), (length % count).cast("int")
-    out = []
-    for i in range(count):
-        longer = F.greatest(F.lit(0), F.lit(i - count) + rest)
-        out.append((base * i + longer, base + (F.lit(i) >= F.lit(count) - rest).cast("int")))
-    return out
+def with_segments(rows: DataFrame) -> DataFrame:
+    """Adds the number and least size of the segments of a text's partners, and how many have one character more.
 
+    `rows` have the text's `size`, `extra` (how much longer it is than its partners) and `edits` (by how many at
+    most they differ). A text of n characters falls into even segments; the last ones take the remainder.
+    """
+    base = F.call_function("div", F.col("size") - F.col("extra"), F.col("edits") + 1).cast("int")
+    rows = rows.withColumn("base", base)
+    return rows.withColumn("more", F.col("size") - F.col("extra") - F.col("base") * (F.col("edits") + 1))
 
-def rest_keys(text: Column, length: Column, extra: Column | int, edits: int, salt: Column, at: Column | None = None) -> list[Column]:
-    """Keys of a text that is `extra` longer than its partners, which differ by at most `edits`.
 
-    With `at`, the text's place in its line, each is a struct of the key, what
-    is left to compare (at, size, extra) and the edits left for it; else the key alone.
-    """
-    indexed, out = length - extra, []
-    for i, (start, size) in enumerate(segments(indexed, edits + 1), 1):
-        for shift in range(-(i - 1), i):
-            after = edits + 1 - i
-            if isinstance(extra, int) and abs(shift - extra) > after:
-                continue
-            begin = start + shift
-            key = F.xxhash64(salt, F.lit(i), indexed, F.substring(text, begin + 1, size))
-            if at is not None:
-                left = i == edits + 1
-                key = F.struct(
-                    key.alias("key"),
-                    (at if left else at + begin + size).cast("int").alias("at"),
-                    (begin if left else length - begin - size).cast("int").alias("size"),
-                    (F.lit(shift) if left else F.lit(extra - shift) if isinstance(extra, int) else extra - shift).cast("int").alias("extra"),
-                    F.lit(edits if i in (1, edits + 1) else after).alias("edits"),
-                )
-            if not isinstance(extra, int):
-                key = F.when(F.abs(extra - shift) <= after, key)
-            out.append(key)
+def segment_keys(text: str, max_edits: int, salt: Column) -> list[tuple[Column, Column, Column, Column, Column]]:
+    """(key, or null where this one doesn't apply; number, shift, begin and size of its segment) of rows `with_segments`."""
+    out = []
+    size, extra, edits, base, more = (F.col(c) for c in ("size", "extra", "edits", "base", "more"))
+    for i in range(max_edits + 1):
+        longer = F.greatest(F.lit(0), F.lit(i - 1) - edits + more)
+        own = base + F.when(F.lit(i - 1) - edits + more >= 0, 1).otherwise(0)
+        last = i == max_edits
+        for shift in [extra] if last else map(F.lit, range(-i, i + 1)):
+            begin = base * i + longer + shift
+            fits = (edits == i) & (F.abs(extra) <= i) if last else F.abs(shift - extra) <= edits - i
+            out.append((F.when(fits, F.xxhash64(salt, F.lit(i), size - extra, F.substring(text, begin + 1, own))), F.lit(i), shift, begin, own))
     return out
 
 
-def keys(line: Column, max_edits: int, per_edit: int, whole: bool = False) -> Column:
-    """A line's keys for every length and number of edits of its partners; null where a line has none of a kind."""
-    length, salt, all_of, some_of = F.char_length(line), F.lit(0), [], []
-    for edits in range(max_edits, 0, -1):
-        for extra in range(edits + 1):
-            own = rest_keys(line, length, extra, edits, salt, F.lit(0) if whole else None)
-            fits = length - extra >= edits * per_edit
-            if edits < max_edits:
-                fits &= length - extra < (edits + 1) * per_edit
-            else:
-                all_of += own
-            some_of += [F.when(fits, k) for k in own]
-    return F.when(length >= max_edits * (per_edit + 1), F.array(*all_of)).otherwise(F.array(*some_of))
+def with_keys(lines: DataFrame, max_edits: int, per_edit: int) -> DataFrame:
+    """Per kind of partner (edits, extra) and `kind` of segment: a line's `key`; the other columns are passed on."""
+    kinds = [F.struct(F.lit(e).alias("edits"), F.lit(x).alias("extra")) for e in range(max_edits, 0, -1) for x in range(e + 1)]
+    rows = lines.withColumn("size", F.char_length("line")).filter(F.col("size") >= per_edit).withColumn("k", F.explode(F.array(*kinds)))
+    rows = rows.withColumn("edits", F.col("k.edits")).withColumn("extra", F.col("k.extra")).drop("k")
+    # The shorter of two lines says how many edits they may differ by.
+    rows = rows.filter(F.least(F.lit(max_edits), F.call_function("div", F.col("size") - F.col("extra"), F.lit(per_edit))) == F.col("edits"))
+    rows = with_segments(rows)
+    found = F.array(*[k for k, *_ in segment_keys("line", max_edits, F.lit(0))])
+    return rows.select(*lines.columns, "size", "edits", "extra", F.posexplode(found).alias("kind", "key")).filter("key is not null")
+
+
+def rest_of(at: Column, max_edits: int) -> list[Column]:
+    """What stays to compare beside each of `segment_keys`, as structs (key, at, size, extra, edits); `at` is the text's place in its line."""
+    out = []
+    for key, i, shift, begin, own in segment_keys("rest", max_edits, F.col("key")):
+        left = i == F.col("edits")
+        rest = F.struct(
+            key.alias("key"),
+            F.when(left, at).otherwise(at + begin + own).cast("int").alias("at"),
+            F.when(left, begin).otherwise(F.col("size") - begin - own).cast("int").alias("size"),
+            F.when(left, shift).otherwise(F.col("extra") - shift).cast("int").alias("extra"),
+            F.when(left, F.col("edits")).otherwise(F.col("edits") - i).cast("int").alias("edits"),
+        )
+        out.append(F.when(key.isNotNull(), rest))
+    return out
 
 
 def _automaton(a: Column, b: Column, max_edits: int) -> Column:
@@ -153,47 +153,50 @@ def _lines(docs: DataFrame) -> DataFrame:
     return given.select(pos, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _split_hot(members: DataFrame, texts: DataFrame, max_edits: int, per_edit: int, most: int, levels: int) -> DataFrame:
-    """(key, h1, h2, n) of keys with at most `most` lines, as far as `levels` of splitting get there."""
+def _split_hot(members: DataFrame, texts: DataFrame, max_edits: int, most: int, levels: int) -> DataFrame:
+    """(key, h1, h2) of keys with at most `most` lines, as far as `levels` of splitting get there."""
     sized = members.groupBy("key").agg(F.count("*").alias("n"))
-    done = members.join(sized.filter((F.col("n") > 1) & (F.col("n") <= most)), "key").select("key", "h1", "h2", "n")
-    hot = sized.filter(F.col("n") > most)
+    done = members.join(sized.filter((F.col("n") > 1) & (F.col("n") <= most)), "key").select("key", "h1", "h2").distinct()
+    hot = written(sized.filter(F.col("n") > most).select("key"), "line-hot")
     if hot.isEmpty():
         return done
-    first = F.element_at(keys(F.col("line"), max_edits, per_edit, True), F.col("kind") + 1)
-    now = members.join(hot, "key").join(texts.select("h1", "h2", "line"), ["h1", "h2"])
-    now = now.select("key", "n", "h1", "h2", first.alias("left")).select("key", "n", "h1", "h2", "left.at", "left.size", "left.extra", "left.edits")
-    for _ in range(levels):
-        now = written(now, "line-hot")
-        # A rest as short as a few characters has no segments that tell lines apart.
-        fine = F.col("size") - F.col("extra") > 2 * F.col("edits") + 1
-        done = done.unionByName(now.filter(~fine).select("key", "h1", "h2", "n").distinct())
-        rest = now.filter(fine).join(texts.select("h1", "h2", "line"), ["h1", "h2"]).withColumn("rest", F.col("line").substr(F.col("at") + 1, F.col("size")))
-        options = [F.when(F.col("edits") == e, F.array(*rest_keys(F.col("rest"), F.col("size"), F.col("extra"), e, F.col("key"), F.col("at")))) for e in range(max_edits, 0, -1)]
-        rest = rest.select("h1", "h2", F.explode(F.coalesce(*options)).alias("x")).filter("x is not null").select("h1", "h2", "x.*").distinct()
-        split = written(rest, "line-split")
-        sized = split.select("key", "h1", "h2").distinct().groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        split = split.join(sized, "key")
-        done = done.unionByName(split.filter(F.col("n") <= most).select("key", "h1", "h2", "n").distinct())
-        now = split.filter(F.col("n") > most)
+    # A hot key's own segment is found again in the whole line, whose rest is the line itself.
+    now = members.join(hot, "key").join(texts.select("h1", "h2", "size"), ["h1", "h2"])
+    now = now.select("h1", "h2", "key", "kind", F.lit(0).alias("at"), "size", "extra", "edits")
+    for level in range(levels + 1):
+        rest = now.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).withColumn("rest", F.col("line").substr(F.col("at") + 1, F.col("size")))
+        found = F.array(*rest_of(F.col("at"), max_edits))
+        rest = with_segments(rest)
+        if level == 0:
+            rest = rest.select("h1", "h2", "key", F.element_at(found, F.col("kind") + 1).alias("x")).select("h1", "h2", "key", *[f"x.{c}" for c in ("at", "size", "extra", "edits")])
+        else:
+            rest = rest.select("h1", "h2", F.explode(found).alias("x")).filter("x is not null").select("h1", "h2", "x.*").distinct()
+        rest = written(rest, "line-split")
+        sized = rest.groupBy("key").agg(F.count("*").alias("n"))
+        rest = rest.join(sized.filter("n > 1"), "key")
+        # A rest of a few characters has no segments that tell lines apart.
+        again = (F.col("n") > most) & (F.col("size") - F.col("extra") > 2 * F.col("edits") + 1)
+        if level == levels:
+            again = F.lit(False)
+        done = done.unionByName(rest.filter(~again).select("key", "h1", "h2").distinct())
+        now = written(rest.filter(again).drop("n"), "line-hot")
         if now.isEmpty():
-            return done
-    return done.unionByName(now.select("key", "h1", "h2", "n").distinct())
+            break
+    return done
 
 
 def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block: int = 32, most: int = 64, levels: int = 4, cell_chars: int = 1 << 20) -> DataFrame:
     """Hashes (h1, h2) of the lines with an earlier line within the edits."""
-    long = lines.filter(F.char_length("line") >= per_edit)
-    entries = long.select("h1", F.explode(keys(F.col("line"), max_edits, per_edit)).alias("key")).filter("key is not null")
+    entries = with_keys(lines.select("h1", "line"), max_edits, per_edit).select("key", "h1")
     shared = written(entries.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"), "line-keys")
-    entries = long.select("h1", "h2", F.posexplode(keys(F.col("line"), max_edits, per_edit)).alias("kind", "key")).filter("key is not null")
+    entries = with_keys(lines.select("h1", "h2", "line"), max_edits, per_edit).select("key", "h1", "h2", "kind", "extra", "edits")
     members = written(entries.join(shared, "key").distinct(), "line-members")
     some = members.select("h1", "h2").distinct()
-    texts = long.join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
+    texts = lines.join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
     size = F.char_length("line")
     counts = [(size - F.char_length(F.translate("line", chars, ""))).alias(f"c{k}") for k, chars in enumerate(_COUNTED)]
     texts = written(texts.select("h1", "h2", "pos", "line", size.alias("size"), F.least(F.lit(max_edits), F.floor(size / per_edit).cast("int")).alias("edits"), *counts), "line-texts")
-    members = written(_split_hot(members, texts, max_edits, per_edit, most, levels), "line-groups")
+    members = written(_split_hot(members, texts, max_edits, most, levels), "line-groups")
     # Keys with the same lines do the same work: one of them is enough.
     same = members.join(texts.select("h1", "h2", "size"), ["h1", "h2"]).groupBy("key").agg(
         F.count("*").alias("n"), F.sum("size").alias("chars"), F.min("h1").alias("low"), F.bit_xor("h1").alias("x"), F.sum(F.col("h2").cast("decimal(20,0)")).alias("s")

@@ -27,6 +27,8 @@ are passed on.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.shared import written
 
 _TEXT_KEY = "xxhash64(text)"
-#: Lines within d edits differ by at most d in the number of characters of each of these sets.
-_COUNTED = ("ae", "io", "tn", "sr", "lhd", "cum", "0123456789", " .,;:-")
+#: Lines within d edits differ by at most d in the number of characters of each of these sets, and by 2d over all sets.
+_COUNTED = (*"etaoinsrhlducm", "0123456789", " .,;:-")
+_PIECE = 16
 
 
 def with_segments(rows: DataFrame) -> DataFrame:
@@ -145,6 +148,11 @@ def near(a: Column, b: Column, max_edits: int, edits: Column | int | None = None
     return heads & _once(_chars(a), _chars(b), lambda x, y: within(x, y, max_edits, edits))
 
 
+def _pieces(line: str) -> Column:
+    """Hashes of the line's pieces of `_PIECE` characters."""
+    return F.transform(F.regexp_extract_all(line, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), lambda x: F.xxhash64(x))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line with a word: pos (none, doc_id, text_key, line_no), line and its two hashes."""
     given = docs.select("doc_id", F.expr(_TEXT_KEY).alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -195,7 +203,7 @@ def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block:
     texts = lines.join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
     size = F.char_length("line")
     counts = [(size - F.char_length(F.translate("line", chars, ""))).alias(f"c{k}") for k, chars in enumerate(_COUNTED)]
-    texts = written(texts.select("h1", "h2", "pos", "line", size.alias("size"), F.least(F.lit(max_edits), F.floor(size / per_edit).cast("int")).alias("edits"), *counts), "line-texts")
+    texts = written(texts.select("h1", "h2", "pos", "line", size.alias("size"), F.least(F.lit(max_edits), F.floor(size / per_edit).cast("int")).alias("edits"), _pieces("line").alias("pieces"), *counts), "line-texts")
     members = written(_split_hot(members, texts, max_edits, most, levels), "line-groups")
     # Keys with the same lines do the same work: one of them is enough.
     same = members.join(texts.select("h1", "h2", "size"), ["h1", "h2"]).groupBy("key").agg(
@@ -205,17 +213,22 @@ def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block:
     chosen = same.filter("n > 1").groupBy("n", "low", "x", "s").agg(F.min("key").alias("key"), n_blocks.alias("n_blocks")).select("key", "n_blocks")
     dealt = members.select("key", "h1", "h2").join(chosen, "key").join(texts, ["h1", "h2"]).withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("n_blocks")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    line = F.struct("h1", "h2", "pos", "block", "line", "size", "edits", *[f"c{k}" for k in range(len(_COUNTED))]).alias("x")
+    line = F.struct("h1", "h2", "pos", "block", "line", "size", "edits", "pieces", *[f"c{k}" for k in range(len(_COUNTED))]).alias("x")
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), line).groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
 
     def has_earlier(y: Column) -> Column:
         def matches(x: Column) -> Column:
             edits = F.least(x["edits"], y["edits"])
             fits = F.abs(x["size"] - y["size"]) <= edits
-            for k in range(len(_COUNTED)):
-                fits &= F.abs(x[f"c{k}"] - y[f"c{k}"]) <= edits
             fits &= (F.col("i") == F.col("j")) | (x["block"] != y["block"])
-            return fits & (x["pos"] < y["pos"]) & near(x["line"], y["line"], max_edits, edits)
+            apart = [F.abs(x[f"c{k}"] - y[f"c{k}"]) for k in range(len(_COUNTED))]
+            for d in apart:
+                fits &= d <= edits
+            # Both lines after their common pieces.
+            differs = F.array_position(F.zip_with(x["pieces"], y["pieces"], lambda a, b: ~a.eqNullSafe(b)), True)
+            at = F.when(differs > 0, (differs - 1) * _PIECE + 1).otherwise(F.least(x["size"], y["size"]) + 1).cast("int")
+            fits &= (reduce(add, apart) <= 2 * edits) & (x["pos"] < y["pos"])
+            return fits & F.exists(F.array(at), lambda n: near(x["line"].substr(n, x["size"]), y["line"].substr(n, y["size"]), max_edits, edits))
 
         return F.exists("xs", matches)
 

@@ -2,29 +2,32 @@
 
 Tokens are the lower-cased (A-Z) words of a text and one end. Counts of all training
 tokens are exact. The `head` most frequent words are classes of 32 with a softmax
-inside each; all other words fall into classes by their last letters, inside which
+inside each; all other words fall into classes by their last two bytes: one for each of the
+most frequent endings, and a few for the others by a hash. Inside such a class
 a word's chance is its count plus one over the class's counts plus its distinct words plus one
 (words never seen count as one more). The chance of a token is that of its class
 times that inside the class, both given the state of a GRU; the state starts at
 zero with a text and is carried through windows of `window` tokens over the whole of it.
 
-Training: the driver warms the model up on at most `warm_docs` training texts; then
-every task continues from there over all training texts of its blocks by
-truncated backpropagation, and the results are averaged, weighted by tokens, in a
-tree of tasks. Texts are dealt in blocks with their own word lists, so the counts
-that a task looks up are those of its block's words: they come by a shuffle join on the word,
-and no table of all words is ever held in one place.
+Training: the driver warms the model up on at most `warm_docs` different training texts
+of at most `warm_tokens` tokens together; then every task continues from there over all its
+training texts by truncated backpropagation, and the results are averaged, weighted by
+tokens, in a tree of tasks. Texts are dealt in blocks with their own word lists, so the counts
+that a task looks up are those of its block's words: they come by one shuffle join on the word,
+and no table of all words is ever held in one place. With them each text is coded once;
+training and scoring read the codes where they lie.
 
 Defined cases: null and empty texts have the end token only; null ids are not held
 out; repeated rows are learned and scored as often as they come; words of any
-length are whole tokens; with no training text the model is its starting point;
+length are whole tokens; a text of any length is stepped through window by window, and
+memory grows with its codes alone; words of equal counts at the edge of the
+frequent ones are taken in byte order; with no training text the model is its starting point;
 an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,14 +40,12 @@ from pyspark.sql import functions as F
 from palimpsest.llm.shared import written
 
 GROUP = 32
-TAILS = 32
+#: Classes of the words outside the head: the last `HASHED` are for endings that are not frequent.
+TAILS = 64
+HASHED = 8
 END = b""  # no word is empty
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % TAILS
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -99,7 +100,8 @@ class Gru:
         flat, target = states.reshape(-1, h), targets.ravel()
         is_head = target < self.head
         kind = np.where(is_head, target // GROUP, target - self.head + self.groups)
-        logits = flat @ p["c"] + p["cb"]
+        logits = flat @ p["c"]
+        logits += p["cb"]
         logits -= logits.max(axis=1, keepdims=True)
         chance = np.exp(logits)
         sums = chance.sum(axis=1, keepdims=True)
@@ -109,7 +111,8 @@ class Gru:
         edges = np.searchsorted(kind[order], np.arange(self.groups + 1))
         g: dict | None = None
         if learn:
-            d = chance / sums
+            d = chance
+            d /= sums
             d[rows, kind] -= 1
             to_state = d @ p["c"].T
             g = {"c": flat.T @ d, "cb": d.sum(axis=0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
@@ -151,7 +154,10 @@ class Gru:
 
 
 class Slots:
-    """Texts dealt to parallel slots of near equal length; the longer slots come first."""
+    """Texts dealt to parallel slots of near equal length; the longer slots come first.
+
+    The slots' tokens lie one after the other, so a long text beside short ones costs no padding.
+    """
 
     def __init__(self, texts: list[np.ndarray], most: int = 256):
         sizes = [len(t) for t in texts]
@@ -164,39 +170,40 @@ class Slots:
             heapq.heappush(load, (size + sizes[i], s))
         own.sort(key=lambda o: -sum(sizes[i] for i in o))
         self.lengths = np.array([sum(sizes[i] for i in o) for o in own])
-        steps = int(self.lengths.max()) if len(texts) else 0
-        self.tokens = np.zeros((steps, n), np.int32)
-        self.text = np.zeros((steps, n), np.int32)
-        self.starts = np.zeros((steps, n), bool)
-        for s, o in enumerate(own):
-            at = 0
-            for i in o:
-                self.tokens[at : at + sizes[i], s], self.text[at : at + sizes[i], s], self.starts[at, s] = texts[i], i, True
-                at += sizes[i]
-
-    def windows(self, size: int) -> Iterator[tuple[slice, int, int]]:
-        """(steps, slots that fill them all, slots that begin them)."""
+        self.first = np.cumsum(self.lengths) - self.lengths
+        order = [i for o in own for i in o]
+        dealt = np.array([sizes[i] for i in order], dtype=np.int64)
+        self.tokens = np.concatenate([np.zeros(0, np.uint16), *(texts[i] for i in order)])
+        self.text = np.repeat(np.array(order, dtype=np.int32), dealt)
+        self.starts = np.zeros(len(self.tokens), bool)
+        self.starts[(np.cumsum(dealt) - dealt)[dealt > 0]] = True
+
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray, int]]:
+        """(places of the window's tokens by step and slot, its first step): as many slots as fill all steps."""
         at = 0
-        while at < len(self.tokens):
+        while at < self.lengths[0]:
             alive = int((self.lengths > at).sum())
             stop = min(at + size, int(self.lengths[alive - 1]))
-            yield slice(at, stop), alive
+            yield self.first[:alive] + np.arange(at, stop)[:, None], at
             at = stop
 
 
 def run_texts(model: Gru, texts: list[np.ndarray], end: int, window: int, learn: Adam | None = None) -> np.ndarray:
     """Natural log-chance of the classes and places of each text's codes; learns on the way if asked."""
-    slots = Slots(texts)
     out = np.zeros(len(texts))
-    state = np.zeros((slots.tokens.shape[1], model.hidden), np.float32)
-    for steps, n in slots.windows(window):
-        codes = np.empty((steps.stop - steps.start, n), np.int32)
-        codes[1:] = slots.tokens[steps.start : steps.stop - 1, :n]
-        codes[0] = slots.tokens[steps.start - 1, :n] if steps.start else end
-        starts = slots.starts[steps, :n]
+    if not texts:
+        return out
+    slots = Slots(texts)
+    state = np.zeros((len(slots.lengths), model.hidden), np.float32)
+    for places, at in slots.windows(window):
+        codes = np.empty(places.shape, np.int64)
+        targets = slots.tokens[places].astype(np.int64)
+        codes[1:] = targets[:-1]
+        codes[0] = slots.tokens[places[0] - 1] if at else end
+        starts = slots.starts[places]
         codes[starts] = end
-        scores, state, g = model.run(codes, starts, slots.tokens[steps, :n], state[:n], learn is not None)
-        out += np.bincount(slots.text[steps, :n].ravel(), scores.ravel(), minlength=len(texts))
+        scores, state, g = model.run(codes, starts, targets, state[: places.shape[1]], learn is not None)
+        out += np.bincount(slots.text[places].ravel(), scores.ravel(), minlength=len(texts))
         if g is not None:
             learn.step(model.p, g, scores.size)
     return out
@@ -265,22 +272,51 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
         yield close()
 
 
-def _block(docs: pa.Table, words: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """(texts as indexes, held_out, counts by index, codes by index) of one block."""
+def _code(docs: pa.Table, words: pa.Table, head: int, total: int, distinct: int, tails: np.ndarray, dtype: str) -> pa.Table:
+    """One block's texts as codes, with all of their scores that the network has no part in."""
     place = words.column("place").to_numpy()
     counts, codes = np.zeros(len(place), np.int64), np.zeros(len(place), np.int32)
     counts[place], codes[place] = words.column("count").to_numpy(), words.column("code").to_numpy()
+    base = np.log10((counts + 1) / (total + distinct + 1))
+    inside = np.where(codes >= head, np.log10((counts + 1) / tails[np.maximum(codes - head, 0)]), 0)
+    coded, known = codes.astype(dtype), counts > 0
     texts = [np.frombuffer(x.as_buffer(), "<u4") for x in docs.column("ids")]
-    return texts, np.array(docs.column("held_out").to_pylist(), dtype=bool), counts, codes
+    return pa.table(
+        {
+            "doc_id": docs.column("doc_id"),
+            "held_out": docs.column("held_out"),
+            "n_tokens": pa.array([len(t) for t in texts], pa.int64()),
+            "n_known": pa.array([int(known[t].sum()) for t in texts], pa.int64()),
+            "base_score": pa.array([float(base[t].sum()) for t in texts], pa.float64()),
+            "inside": pa.array([float(inside[t].sum()) for t in texts], pa.float64()),
+            "codes": pa.array([coded[t].tobytes() for t in texts], pa.binary()),
+        }
+    )
 
 
-def _learn(docs: pa.Table, words: pa.Table, model: Gru, end: int, window: int, rate: float) -> pa.Table:
-    texts, held, _, codes = _block(docs, words)
-    own = [codes[t] for t, out in zip(texts, held, strict=True) if not out]
-    tokens = sum(map(len, own))
+def _gathered(batches: Iterator[pa.RecordBatch], dtype: str, tokens: int) -> Iterator[tuple[pa.Table, list[np.ndarray]]]:
+    """Rows and their codes, about `tokens` at a time."""
+    held, texts, size = [], [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            rows = batch.slice(lo, 256)
+            held.append(rows)
+            texts += [np.frombuffer(x.as_buffer(), dtype) for x in rows.column("codes")]
+            size += sum(map(len, texts[-rows.num_rows :]))
+            if size >= tokens:
+                yield pa.Table.from_batches(held), texts
+                held, texts, size = [], [], 0
+    if held:
+        yield pa.Table.from_batches(held), texts
+
+
+def _learn(batches: Iterator[pa.RecordBatch], model: Gru, end: int, window: int, rate: float, dtype: str, at_once: int) -> Iterator[pa.RecordBatch]:
+    learner, tokens = Adam(model.p, rate), 0
+    for _, texts in _gathered(batches, dtype, at_once):
+        run_texts(model, texts, end, window, learner)
+        tokens += sum(map(len, texts))
     if tokens:
-        run_texts(model, own, end, window, Adam(model.p, rate))
-    return pa.table({"tokens": pa.array([tokens], pa.int64()), "weights": pa.array([(model.flat().astype(np.float64) * tokens).tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"tokens": pa.array([tokens], pa.int64()), "weights": pa.array([(model.flat().astype(np.float64) * tokens).tobytes()], pa.binary())})
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,28 +329,40 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"tokens": pa.array([tokens], pa.int64()), "weights": pa.array([total.tobytes()], pa.binary())})
 
 
-def _score(docs: pa.Table, words: pa.Table, model: Gru, end: int, window: int, total: int, distinct: int, tails: np.ndarray) -> pa.Table:
-    texts, held, counts, codes = _block(docs, words)
-    scores = run_texts(model, [codes[t] for t in texts], end, window) / np.log(10)
-    base = np.log10((counts + 1) / (total + distinct + 1))
-    tail = codes - model.head
-    inside = np.where(tail >= 0, np.log10((counts + 1) / tails[np.maximum(tail, 0)]), 0)
-    n = len(texts)
-    return pa.table(
-        {
-            "doc_id": docs.column("doc_id"),
-            "held_out": pa.array(held, pa.bool_()),
-            "n_tokens": pa.array([len(t) for t in texts], pa.int64()),
-            "n_known": pa.array([int((counts[t] > 0).sum()) for t in texts], pa.int64()),
-            "train_tokens": pa.array([total] * n, pa.int64()),
-            "base_score": pa.array([float(base[t].sum()) for t in texts], pa.float64()),
-            "score": pa.array([float(s + inside[t].sum()) for s, t in zip(scores, texts, strict=True)], pa.float64()),
-        }
-    )
+def _score(batches: Iterator[pa.RecordBatch], model: Gru, end: int, window: int, total: int, dtype: str, at_once: int) -> Iterator[pa.RecordBatch]:
+    for rows, texts in _gathered(batches, dtype, at_once):
+        scores = run_texts(model, texts, end, window) / np.log(10) + rows.column("inside").to_numpy()
+        columns = {c: rows.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known")}
+        columns |= {"train_tokens": pa.array([total] * len(texts), pa.int64()), "base_score": rows.column("base_score").combine_chunks(), "score": pa.array(scores, pa.float64())}
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _warm_texts(coded: DataFrame, dtype: str, docs: int, tokens: int) -> list[np.ndarray]:
+    """Different training texts, spread by a hash over the corpus; only hashes are sorted."""
+    training = coded.filter("not held_out").withColumn("hash", F.xxhash64("codes"))
+    chosen, left = [], tokens
+    for r in training.select("hash", "n_tokens").distinct().orderBy("hash", "n_tokens").limit(docs).collect():
+        if r.n_tokens <= left:
+            chosen.append((r.hash,))
+            left -= r.n_tokens
+    wanted = F.broadcast(coded.sparkSession.createDataFrame(chosen, "hash long"))  # at most `docs` rows
+    rows = training.select("hash", "codes").join(wanted, "hash").groupBy("hash").agg(F.first("codes").alias("codes")).collect()
+    return [np.frombuffer(r.codes, dtype) for r in sorted(rows, key=lambda r: r.hash)]
 
 
 def score(
-    docs: DataFrame, folds: int = 7, remainder: int = 2, head: int = 1024, hidden: int = 16, window: int = 32, block_bytes: int = 12 << 20, warm_docs: int = 300, rate: float = 0.01
+    docs: DataFrame,
+    folds: int = 7,
+    remainder: int = 2,
+    head: int = 1024,
+    hidden: int = 16,
+    window: int = 32,
+    block_bytes: int = 12 << 20,
+    at_once: int = 1 << 20,
+    warm_docs: int = 1000,
+    warm_tokens: int = 1_000_000,
+    warm_epochs: int = 3,
+    rate: float = 0.01,
 ) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -334,29 +382,31 @@ def score(
         listed = [*listed[: head - 1], END]
     by_word = {bytes(r["words"]): r["count"] for r in frequent}
     end = listed.index(END)
-    # At most `head` rows, each a frequent word.
+    # At most `head` frequent words, and fewer endings than classes.
     codes = F.broadcast(spark.createDataFrame([(w, i) for i, w in enumerate(listed)], "word binary, number int"))
     groups = max(1, -(-len(listed) // GROUP)) * GROUP
-    by_letters = F.crc32(F.when(F.octet_length("words") <= 2, F.col("words")).otherwise(F.expr("substring(words, -2, 2)"))) % TAILS
-    coded = counts.join(codes, counts["words"] == codes["word"], "left").select("words", "count", F.coalesce("number", (by_letters + groups).cast("int")).alias("code"))
+    ending = F.when(F.octet_length("words") <= 2, F.col("words")).otherwise(F.expr("substring(words, -2, 2)"))
+    rare = counts.join(codes, counts["words"] == codes["word"], "left_anti").select(ending.alias("ending"), "count")
+    common = rare.groupBy("ending").agg(F.sum("count").alias("n")).filter("n > 0").orderBy(F.desc("n"), "ending").limit(TAILS - HASHED).collect()
+    endings = F.broadcast(spark.createDataFrame([(bytes(r["ending"]), i) for i, r in enumerate(common)], "ending binary, place int"))
+    coded = counts.withColumn("ending", ending).join(codes, counts["words"] == codes["word"], "left").join(endings, "ending", "left")
+    tail = F.coalesce("place", (F.crc32("ending") % HASHED + (TAILS - HASHED)).cast("int")) + groups
+    coded = coded.select("words", "count", F.coalesce("number", tail).alias("code"))
     sums = {r["code"] - groups: (r["n"], r["v"]) for r in coded.filter(F.col("code") >= groups).groupBy("code").agg(F.sum("count").alias("n"), F.count_if(F.col("count") > 0).alias("v")).collect()}
     tails = np.array([sum(sums.get(t, (0, 0))) + 1 for t in range(TAILS)], dtype=np.float64)
+    dtype = "<u2" if groups + TAILS <= 1 << 16 else "<u4"
+    known = local.select("block", "place", "words").join(coded, "words").select(F.col("block").alias("of"), "place", "count", "code")
+    rows = texts.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(
+        lambda d, w: _code(d, w, groups, total, distinct, tails, dtype),
+        f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, inside double, codes binary",
+    )
+    rows = written(rows, "lm-codes")
     model = Gru([by_word.get(w, 0) for w in listed], [sums.get(t, (0, 0))[0] for t in range(TAILS)], hidden)
-    known = written(local.select("block", "place", "words").join(coded, "words").select("block", "place", "count", "code"), "lm-words")
-    # Warm start on a bounded number of training texts, spread by a hash over the corpus.
-    chosen = texts.filter("not held_out").select("block", "doc_id", "ids").orderBy(F.xxhash64("ids"), "block").limit(warm_docs)
-    warm: dict[int, list] = {}
-    for r in chosen.collect():
-        warm.setdefault(r["block"], []).append(np.frombuffer(r["ids"], "<u4"))
-    wanted = spark.createDataFrame([(b, int(i)) for b, t in warm.items() for i in np.unique(np.concatenate(t))] or [(-1, 0)], "block long, place int")
-    code_of = {(r["block"], r["place"]): r["code"] for r in known.join(wanted, ["block", "place"]).select("block", "place", "code").toLocalIterator()}
-    samples = [np.array([code_of[b, int(i)] for i in t], np.int32) for b, own in warm.items() for t in own]
-    if samples:
+    if samples := _warm_texts(rows, dtype, warm_docs, warm_tokens):
         learner = Adam(model.p, rate)
-        for _ in range(3):
+        for _ in range(warm_epochs):
             run_texts(model, samples, end, window, learner)
-    by_block, words = texts.groupBy("block"), known.groupBy("block")
-    learned = by_block.cogroup(words).applyInArrow(lambda d, w: _learn(d, w, model, end, window, rate / 2), "tokens long, weights binary")
+    learned = rows.filter("not held_out").select("codes").mapInArrow(lambda b: _learn(b, model, end, window, rate / 4, dtype, at_once), "tokens long, weights binary")
     level = written(learned, "lm-weights", "snappy")
     parts = level.rdd.getNumPartitions()
     summed = level.mapInArrow(_add, "tokens long, weights binary").repartition(max(1, int(parts**0.5))).mapInArrow(_add, "tokens long, weights binary")
@@ -367,7 +417,7 @@ def score(
     final.p, final.groups, final.head = dict(model.p), model.groups, model.head
     if tokens:
         final.load(weights / tokens)
-    return by_block.cogroup(words).applyInArrow(
-        lambda d, w: _score(d, w, final, end, window, total, distinct, tails),
+    return rows.mapInArrow(
+        lambda b: _score(b, final, end, window, total, dtype, at_once),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

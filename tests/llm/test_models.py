@@ -211,9 +211,49 @@ def test_language_model_base(request, sample, which):
     want = [(str(r.doc_id), h, len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 4)) for r, t, h in zip(given, tokens, held, strict=True)]
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in rows) == sorted(want)
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
-    if which == "sample":
-        out = [r for r in rows if r.held_out]
-        assert sum(r.score for r in out) > 1.02 * sum(r.base_score for r in out)
+
+
+def test_language_model_beats_the_counts(spark):
+    out = gru_lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
+    assert sum(r.score for r in out) > 0.95 * sum(r.base_score for r in out)  # both are negative
+    assert sum(r.score > r.base_score for r in out) >= 0.8 * len(out)
+
+
+def test_language_model_steps_as_written_down():
+    """Each token's chance by the textbook equations, one token at a time."""
+    draw, model = np.random.default_rng(4), gru_lm.Gru([5] * 64, [3] * gru_lm.TAILS, 5)
+    for k, v in model.p.items():
+        model.p[k] = (v + draw.standard_normal(v.shape) * 0.3).astype(np.float32)
+    p, h, texts = model.p, 5, [draw.integers(0, 64 + gru_lm.TAILS, n).astype("<u2") for n in (40, 1, 0, 333)]
+
+    def soft(x):
+        return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    want = []
+    for text in texts:
+        state, before, total = np.zeros(h), 63, 0.0
+        for code in text.tolist():
+            gate, rec = p["x"][before], state @ p["u"]
+            z, r = (1 / (1 + np.exp(-(gate[a : a + h] + rec[a : a + h]))) for a in (0, h))
+            state = (1 - z) * np.tanh(gate[2 * h :] + r * rec[2 * h :]) + z * state
+            kind = code // 32 if code < 64 else code - 64 + 2
+            total += math.log(soft(state @ p["c"] + p["cb"])[kind])
+            if code < 64:
+                total += math.log(soft(p["o"][kind] @ state + p["ob"][kind])[code % 32])
+            before = code
+        want.append(total)
+    assert np.allclose(gru_lm.run_texts(model, texts, 63, 7), want, rtol=1e-3)
+
+
+def test_language_model_memory_of_a_long_text():
+    import tracemalloc
+
+    draw, model = np.random.default_rng(2), gru_lm.Gru([5] * 64, [3] * gru_lm.TAILS)
+    texts = [draw.integers(0, 64, n).astype("<u2") for n in (300_000, *[50] * 299)]
+    tracemalloc.start()
+    assert np.isfinite(gru_lm.run_texts(model, texts, 0, 32)).all()
+    assert tracemalloc.get_traced_memory()[1] < 50 * (sum(map(len, texts)) + 1_000_000)
+    tracemalloc.stop()
 
 
 def test_long_url_logins():

@@ -93,6 +93,22 @@ def test_join_counts_once_beside_an_empty_block(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in found} == {i: (i - i % 2, 1) for i, _ in rows}
 
 
+def test_forest_recall_against_brute_force(spark):
+    """Pairs just over the threshold, beside a group that keeps its long prefixes."""
+    draw, rows = random.Random(12), []
+    for p in range(150):
+        words = [f"p{p}w{i}" for i in range(100)]
+        rows += [words, [w if k != 30 and k != 70 else "new" for k, w in enumerate(words)]]  # 86 of 106 shingles
+    base = [f"b{i}" for i in range(400)]
+    rows += [[w if k != at else f"n{at}" for k, w in enumerate(base)] for at in draw.sample(range(400), 40)]
+    texts = [" ".join(w) for w in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes, links = brute_join(texts)
+    found = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(df).collect()}
+    assert sum(found[i] == (classes[i], links[i]) for i in range(len(texts))) >= 0.99 * len(texts)
+    assert sum(links[i] for i in range(300)) == 300 and sum(found[i][1] for i in range(300)) >= 297
+
+
 def test_join_cases(odd_docs, no_docs):
     found = [(r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(odd_docs).collect()]
     assert len(found) == odd_docs.count()

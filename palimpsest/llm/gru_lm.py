@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import one_thread, written
 
 GROUP = 32
 #: Classes of the words outside the head: the last `HASHED` are for endings that are not frequent.
@@ -224,10 +224,18 @@ class Adam:
             p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.99**self.n)) + 1e-8)
 
 
+class _Numbers(dict):
+    """Numbers words in the order of their first occurrence."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows of texts as indexes into their block's word list, then one row with the list and its training counts."""
     block = TaskContext.get().partitionId() << 32
-    words: dict[bytes, int] = {}
+    words = _Numbers()
     trained: list[np.ndarray] = []
     size = 0
 
@@ -244,7 +252,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
                 "counts": pa.array([counts], pa.list_(pa.int64())),
             }
         )
-        words, trained, size, block = {}, [], 0, block + 1
+        words, trained, size, block = _Numbers(), [], 0, block + 1
         return row
 
     kind = pa.null()
@@ -256,7 +264,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
             ids = []
             for text, out in zip(rows.column("text"), held, strict=True):
                 data = (text.as_py() or "").encode().lower()
-                own = np.array([words.setdefault(w, len(words)) for w in chain(data.split(), (END,))], dtype="<u4")
+                own = np.fromiter(map(words.__getitem__, chain(data.split(), (END,))), dtype="<u4")
                 size += len(data)
                 ids.append(own.tobytes())
                 if not out:
@@ -311,6 +319,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], dtype: str, tokens: int) -> Ite
 
 
 def _learn(batches: Iterator[pa.RecordBatch], model: Gru, end: int, window: int, rate: float, dtype: str, at_once: int) -> Iterator[pa.RecordBatch]:
+    one_thread()
     learner, tokens = Adam(model.p, rate), 0
     for _, texts in _gathered(batches, dtype, at_once):
         run_texts(model, texts, end, window, learner)
@@ -330,6 +339,7 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Gru, end: int, window: int, total: int, dtype: str, at_once: int) -> Iterator[pa.RecordBatch]:
+    one_thread()
     for rows, texts in _gathered(batches, dtype, at_once):
         scores = run_texts(model, texts, end, window) / np.log(10) + rows.column("inside").to_numpy()
         columns = {c: rows.column(c).combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known")}

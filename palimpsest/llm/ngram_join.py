@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import one_thread, written
 from palimpsest.llm.shingles import Permutations, blocks, distinct, mix, shingle_hashes
 
 _VALUE = np.dtype(">u2")  # big-endian, so that labels sort like their values
@@ -118,6 +118,7 @@ def _roots(m: int, left: np.ndarray, right: np.ndarray, names: np.ndarray) -> np
 
 
 def _verify(table: pa.Table, threshold: float, n: int) -> pa.Table:
+    one_thread()
     i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
     rows = table.column("row").to_numpy()
     weight = table.column("copies").to_numpy()

@@ -7,11 +7,13 @@ than once are written as Parquet under the folder named by
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.sources.shared import fresh_path, shared_dir, written
 
-__all__ = ["filesystem", "fresh_path", "read_table", "shared_dir", "written"]
+__all__ = ["filesystem", "one_thread", "fresh_path", "read_table", "shared_dir", "written"]
 
 
 def filesystem(uri: str):
@@ -27,3 +29,21 @@ def filesystem(uri: str):
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_thread() -> None:
+    """Keep matrix products of this process to one thread: a task has one core, and idle threads spin on the others'.
+
+    Concerns speed only; where the library isn't found, nothing happens.
+    """
+    try:
+        with open("/proc/self/maps") as maps:
+            paths = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break

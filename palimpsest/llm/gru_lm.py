@@ -50,6 +50,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether the exponentials of all logits, and at least one row's share of them, stay far from the limits of 32 bits."""
+    reach = np.abs(weights).sum(axis=0)
+    return bool((bias + reach).max() < 60 and (bias - reach).max() > -60)
+
+
 class Gru:
     """Codes: 0 .. head - 1 are the frequent words, the next TAILS the other words' classes."""
 
@@ -88,8 +94,9 @@ class Gru:
         gates_x = p["x"][codes]
         kept = []
         states = np.empty((t, b, h), np.float32)
+        begins = starts.any(axis=1)
         for k in range(t):
-            before = np.where(starts[k][:, None], np.float32(0), state)
+            before = np.where(starts[k][:, None], np.float32(0), state) if begins[k] else state
             rec = before @ p["u"]
             zr = _sigmoid(gates_x[k, :, : 2 * h] + rec[:, : 2 * h])
             new = np.tanh(gates_x[k, :, 2 * h :] + zr[:, h:] * rec[:, 2 * h :])
@@ -102,7 +109,9 @@ class Gru:
         kind = np.where(is_head, target // GROUP, target - self.head + self.groups)
         logits = flat @ p["c"]
         logits += p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
+        # States are within -1 and 1, so logits have known bounds: mostly no exponential can overflow.
+        if not _tame(p["c"], p["cb"]):
+            logits -= logits.max(axis=1, keepdims=True)
         chance = np.exp(logits)
         sums = chance.sum(axis=1, keepdims=True)
         rows = np.arange(len(target))
@@ -116,13 +125,15 @@ class Gru:
             d[rows, kind] -= 1
             to_state = d @ p["c"].T
             g = {"c": flat.T @ d, "cb": d.sum(axis=0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
+        tame = [_tame(p["o"][c].T, p["ob"][c]) for c in range(self.groups)]
         for c in range(self.groups):
             own = order[edges[c] : edges[c + 1]]
             if not len(own):
                 continue
             place = target[own] - c * GROUP
             inside = flat[own] @ p["o"][c].T + p["ob"][c]
-            inside -= inside.max(axis=1, keepdims=True)
+            if not tame[c]:
+                inside -= inside.max(axis=1, keepdims=True)
             e = np.exp(inside)
             total = e.sum(axis=1, keepdims=True)
             scores[own] += inside[np.arange(len(own)), place] - np.log(total[:, 0])
@@ -144,7 +155,9 @@ class Gru:
                 to_x[k, :, : 2 * h], to_x[k, :, 2 * h :] = dzr, dn
                 du = np.concatenate([dzr, dn * zr[:, h:]], axis=1)
                 g["u"] += before.T @ du
-                ahead = np.where(starts[k][:, None], np.float32(0), dh * zr[:, :h] + du @ p["u"].T)
+                ahead = dh * zr[:, :h] + du @ p["u"].T
+                if begins[k]:
+                    ahead[starts[k]] = 0
             code = codes.ravel()
             by = np.argsort(code, kind="stable")
             first = np.flatnonzero(np.diff(code[by], prepend=-1))
@@ -169,6 +182,9 @@ class Slots:
             own[s].append(i)
             heapq.heappush(load, (size + sizes[i], s))
         own.sort(key=lambda o: -sum(sizes[i] for i in o))
+        draw = np.random.default_rng(n)
+        for o in own:  # else a slot's last texts would all be short ones
+            draw.shuffle(o)
         self.lengths = np.array([sum(sizes[i] for i in o) for o in own])
         self.first = np.cumsum(self.lengths) - self.lengths
         order = [i for o in own for i in o]
@@ -205,7 +221,7 @@ def run_texts(model: Gru, texts: list[np.ndarray], end: int, window: int, learn:
         scores, state, g = model.run(codes, starts, targets, state[: places.shape[1]], learn is not None)
         out += np.bincount(slots.text[places].ravel(), scores.ravel(), minlength=len(texts))
         if g is not None:
-            learn.step(model.p, g, scores.size)
+            learn.step(model.p, g, scores.size, scores.size / (window * len(slots.lengths)))
     return out
 
 
@@ -215,13 +231,14 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
-    def step(self, p: dict, g: dict, tokens: int) -> None:
+    def step(self, p: dict, g: dict, tokens: int, share: float = 1.0) -> None:
+        """One update from the gradients of `tokens`; windows that fill only a `share` of their places move the weights by less."""
         self.n += 1
         for k, d in g.items():
             d = np.clip(d / tokens, -1, 1)
             self.m[k] += 0.1 * (d - self.m[k])
             self.v[k] += 0.01 * (d * d - self.v[k])
-            p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.99**self.n)) + 1e-8)
+            p[k] -= self.rate * share * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.99**self.n)) + 1e-8)
 
 
 class _Numbers(dict):

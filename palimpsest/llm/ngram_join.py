@@ -177,9 +177,10 @@ def _forest(reps: DataFrame, threshold: float, trees: int, depth: int, recall: f
     def node(length: int) -> Column:
         return F.xxhash64("tree", F.substring("signature", F.col("tree") * (depth * width) + 1, F.lit(length * width)))
 
-    labels = reps.select("row", "signature", F.explode(F.array(*map(F.lit, range(trees)))).alias("tree"))
-    shared = labels.select(node(last).alias("node")).groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
-    members = written(labels.withColumn("node", node(last)).join(written(shared, "trie-nodes"), "node").select("row", "tree", "signature"), "trie-members")
+    labels = reps.withColumn("tree", F.explode(F.array(*map(F.lit, range(trees))))).select("row", "tree", node(last).alias("node"))
+    shared = labels.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node")
+    some = written(labels.join(written(shared, "trie-nodes"), "node").select("row", "tree"), "trie-some")
+    members = written(some.join(reps, "row").select("row", "tree", "signature"), "trie-members")
     links, kept = None, None
     for length in range(depth, last - 1, -1):
         now = members.withColumn("node", node(length))

@@ -9,13 +9,13 @@ probability of them. Pooling needs one sum and one maximum per text, so memory d
 grow with a text's length.
 
 The network is trained on the driver by Adam on at most `train_docs` labelled
-documents, chosen by a hash of the id, of which each epoch reads at most
-`train_chunks` chunks, drawn anew; scoring reads everything. Labels are learned
+documents of at most `train_bytes` together, chosen by a hash of the id, half of them of each label
+as far as there are; each epoch reads all chunks of all of them, as scoring does. Labels are learned
 only from rows whose crc32 of the id modulo `folds` is not 0; id, source, language
 and labels are never inputs.
 
 Defined cases: null and empty texts have no window and get the probability of
-zero features; texts shorter than a filter are padded with zero bytes; null ids
+zero features, and train it like others; texts of any length are read whole; texts shorter than a filter are padded with zero bytes; null ids
 hash as no text and are not held out; repeated rows get equal scores; without labels
 of both kinds every score is the prior share of label 1 (0.5 if there is none); an
 empty table gives no rows; other columns are ignored.
@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import written
+
 WIDTH = 6
 CHUNK = 256
 
@@ -99,7 +101,7 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 30, train_chunks: int = 12, rate: float = 0.01, penalty: float = 1e-4, seed: int = 5) -> ByteNet:
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 20, rate: float = 0.01, penalty: float = 1e-4, seed: int = 5) -> ByteNet:
     """Adam on log loss; gradients reach a filter only where it is maximal, so they are sparse sums."""
     net, draw = ByteNet(), np.random.default_rng(seed)
     labels = np.asarray(labels, dtype=np.float64)
@@ -120,20 +122,28 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 30, train_chunks
             batch = order[lo : lo + 128]
             pieces, owner = [], []
             for k, i in enumerate(batch.tolist()):
-                n = -(-max(len(texts[i]) - WIDTH + 1, 1) // CHUNK)
-                for c in range(n) if n <= train_chunks else draw.choice(n, train_chunks, replace=False).tolist():
+                for c in range(-(-max(len(texts[i]) - WIDTH + 1, 1) // CHUNK) if texts[i] else 0):
                     pieces.append(texts[i][c * CHUNK : (c + 1) * CHUNK + WIDTH - 1].ljust(CHUNK + WIDTH - 1, b"\0"))
                     owner.append(k)
-            data = np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), -1)
-            owner = np.array(owner)
-            total = np.take(net.table[0], data[:, :CHUNK], axis=0)
-            for j in range(1, WIDTH):
-                total += np.take(net.table[j], data[:, j : j + CHUNK], axis=0)
-            at = total.argmax(axis=1)
-            best = np.maximum(np.take_along_axis(total, at[:, None], axis=1)[:, 0] + net.bias, 0)
-            first = np.searchsorted(owner, np.arange(len(batch)))
-            count = np.diff(np.append(first, len(owner)))
-            mean, top = np.add.reduceat(best, first) / count[:, None], np.maximum.reduceat(best, first)
+            data = np.frombuffer(b"".join(pieces), np.uint8).reshape(len(pieces), CHUNK + WIDTH - 1)
+            owner = np.array(owner, dtype=np.int64)
+            at, best = np.empty((len(owner), f), np.int64), np.empty((len(owner), f), np.float32)
+            for some in range(0, len(owner), 256):  # a batch may hold long texts
+                own = data[some : some + 256]
+                total = np.take(net.table[0], own[:, :CHUNK], axis=0)
+                for j in range(1, WIDTH):
+                    total += np.take(net.table[j], own[:, j : j + CHUNK], axis=0)
+                at[some : some + 256] = total.argmax(axis=1)
+                best[some : some + 256] = np.take_along_axis(total, at[some : some + 256, None], axis=1)[:, 0]
+            best = np.maximum(best + net.bias, 0)
+            # Empty texts have no chunk: their features are zero.
+            count = np.bincount(owner, minlength=len(batch))
+            mean, top = np.zeros((len(batch), f)), np.zeros((len(batch), f), np.float32)
+            if len(owner):
+                full = np.flatnonzero(count)
+                first = (np.cumsum(count) - count)[full]
+                mean[full], top[full] = np.add.reduceat(best, first) / count[full, None], np.maximum.reduceat(best, first)
+            count = np.maximum(count, 1)
             z = np.concatenate([mean, top], axis=1) @ net.out + parameters[3][0]
             error = (1 / (1 + np.exp(-z)) - labels[batch]) / len(batch)
             to_best = (error[:, None] * net.out[:f] / count[:, None])[owner] + (error[:, None] * net.out[f:])[owner] * (best == top[owner])
@@ -169,18 +179,23 @@ def _score(batches: Iterator[pa.RecordBatch], net: ByteNet, threshold: float) ->
             )
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_docs: int = 3000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_docs: int = 3000, train_bytes: int = 8 << 20) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality")
-    # Half of the sample from each label, as far as there are rows; at most train_docs rows reach the driver.
-    chosen = usable.filter("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2)
-    chosen = chosen.unionByName(usable.filter("quality = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    # At most train_docs ids; of rows that share an id one counts.
+    chosen = [usable.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2) for q in (1, 0)]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = written(rows.groupBy("doc_id").agg(F.min(F.struct(F.octet_length("text").alias("size"), "text", "quality")).alias("x")).select("doc_id", "x.*"), "cnn-texts")
+    wanted, left = [], {0: train_bytes // 2, 1: train_bytes // 2}
+    for r in rows.select("doc_id", "size", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["size"] <= left[r.quality]:
+            wanted.append((r.doc_id,))
+            left[r.quality] -= r["size"]
     texts, marks = [], []
-    for row in docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toLocalIterator():
-        if row.text:
-            texts.append(row.text.encode())
-            marks.append(row.quality)
+    for row in rows.join(F.broadcast(docs.sparkSession.createDataFrame(wanted, f"doc_id {kind}")), "doc_id").orderBy("doc_id").toLocalIterator():
+        texts.append(row.text.encode())
+        marks.append(row.quality)
     net = train(texts, np.array(marks))
-    kind = docs.schema["doc_id"].dataType.simpleString()
     given = docs.select("doc_id", held_out().alias("held_out"), "text")
     return given.mapInArrow(lambda b: _score(b, net, threshold), f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -5,13 +5,14 @@ random field (boilerplate, content) scores the sequence and Viterbi decoding
 labels it. A text is kept if the words of its content lines make up at least
 `min_share` of its words and the base rules don't fail it.
 
-The weights are fitted by maximum likelihood (forward-backward, Adam) on the lines
-of at most `train_docs` labelled documents, chosen by a hash of the id: lines of
+The weights are fitted by maximum likelihood (forward-backward over whole sequences, Adam) on the lines
+of at most `train_docs` labelled documents with at most `train_lines` lines together, chosen by a hash of the id: lines of
 documents of quality 1 count as content, those of quality 0 and repeats of
 earlier lines as boilerplate. Without labels of both kinds the starting weights hold.
 
 Defined cases: null and empty texts have no words, so the base rules fail them;
-very long texts are decoded whole; repeated rows get equal results; an empty
+very long texts are decoded whole; of equally good labellings the one that
+ends in boilerplate is taken; repeated rows get equal results; an empty
 table gives no rows; other columns are passed by `keep` and ignored by `assess`.
 """
 
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import written
+
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
 _UPPER = bytes(range(65, 91))
@@ -94,55 +97,93 @@ def viterbi(emit: np.ndarray, step: np.ndarray) -> np.ndarray:
     return np.array(labels[::-1])
 
 
-def fit(sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 200, rate: float = 0.1, penalty: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum-likelihood weights and transitions; all sequences advance together, shorter ones masked."""
+def _expected(x: np.ndarray, on: np.ndarray, weights: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log normalizers, expected feature sums of content and expected transitions of sequences (time, sequence), by forward-backward."""
+    t, n = on.shape
+    emit = np.stack([np.zeros((t, n)), x @ weights], axis=2)
+    ahead, behind = np.zeros((t, n, 2)), np.zeros((t, n, 2))
+    ahead[0] = emit[0]
+    for k in range(1, t):
+        ahead[k] = np.where(on[k][:, None], np.logaddexp(ahead[k - 1][:, :1] + step[0], ahead[k - 1][:, 1:] + step[1]) + emit[k], ahead[k - 1])
+    for k in range(t - 2, -1, -1):
+        after = behind[k + 1] + emit[k + 1]
+        behind[k] = np.where(on[k + 1][:, None], np.logaddexp(after[:, :1] + step[:, 0], after[:, 1:] + step[:, 1]), 0)
+    norm = np.logaddexp(ahead[-1][:, 0], ahead[-1][:, 1])
+    content = np.exp(ahead[:, :, 1] + behind[:, :, 1] - norm) * on
+    pair = ahead[:-1, :, :, None] + step + (emit[1:] + behind[1:])[:, :, None, :] - norm[None, :, None, None]
+    both = on[1:] & on[:-1]
+    expected = np.exp(np.where(both[:, :, None, None], pair, -np.inf)).sum(axis=(0, 1))
+    return float(norm.sum()), np.einsum("tnk,tn->k", x, content), expected
+
+
+def likelihood(sequences: list[np.ndarray], labels: list[np.ndarray], weights: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the labels and its gradient in (weights, transitions); whole sequences, those of similar length together."""
+    total, gradient = 0.0, np.zeros(len(weights) + 4)
+    order = sorted((i for i in range(len(sequences)) if len(sequences[i])), key=lambda i: len(sequences[i]))
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and len(sequences[order[hi]]) <= max(8, 2 * len(sequences[order[lo]])):
+            hi += 1
+        group = order[lo:hi]
+        lo, t = hi, len(sequences[group[-1]])
+        x, on = np.zeros((t, len(group), len(weights))), np.zeros((t, len(group)), dtype=bool)
+        for k, i in enumerate(group):
+            n, y = len(sequences[i]), labels[i].astype(int)
+            x[:n, k], on[:n, k] = sequences[i], True
+            gradient[: len(weights)] += y @ sequences[i]
+            total += float(y @ (sequences[i] @ weights)) + float(step[y[:-1], y[1:]].sum())
+            np.add.at(gradient, len(weights) + 2 * y[:-1] + y[1:], 1)
+        norm, content, pairs = _expected(x, on, weights, step)
+        total -= norm
+        gradient -= np.concatenate([content, pairs.ravel()])
+    return total, gradient
+
+
+def fit(sequences: list[np.ndarray], labels: list[np.ndarray], rounds: int = 80, rate: float = 0.2, penalty: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood weights and transitions, by Adam."""
     weights, step = START.copy(), np.array([[0.5, -0.5], [-0.5, 0.5]])
-    sequences, labels = map(list, zip(*[(s, y) for s, y in zip(sequences, labels, strict=True) if len(s)], strict=True)) if any(map(len, sequences)) else ([], [])
-    if not sequences or len({bool(v) for y in labels for v in y}) < 2:
+    lines = sum(map(len, sequences))
+    if not lines or len({bool(v) for y in labels for v in y}) < 2:
         return weights, step
-    # Long texts go in blocks of 64 lines; gradients need no more context than that.
-    sequences, labels = [s[i : i + 64] for s in sequences for i in range(0, len(s), 64)], [y[i : i + 64] for y in labels for i in range(0, len(y), 64)]
-    n, t = len(sequences), max(map(len, sequences))
-    x, y, on = np.zeros((t, n, len(FEATURES))), np.zeros((t, n), dtype=int), np.zeros((t, n), dtype=bool)
-    for i, (s, v) in enumerate(zip(sequences, labels, strict=True)):
-        x[: len(s), i], y[: len(s), i], on[: len(s), i] = s, v, True
-    total, both = on.sum(), on[1:] & on[:-1]
-    share = np.array([(on & (y == k)).sum() for k in (0, 1)]) / total
-    known = np.einsum("tnk,tn->k", x, (on & (y == 1)).astype(float))
-    steps = np.array([[(both & (y[:-1] == i) & (y[1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
     m = v = np.zeros(len(weights) + 4)
-    del share
     for r in range(1, rounds + 1):
-        emit = np.stack([np.zeros((t, n)), x @ weights], axis=2)
-        ahead, behind = np.zeros((t, n, 2)), np.zeros((t, n, 2))
-        ahead[0] = emit[0]
-        for k in range(1, t):
-            ahead[k] = np.where(on[k][:, None], np.logaddexp(ahead[k - 1][:, :1] + step[0], ahead[k - 1][:, 1:] + step[1]) + emit[k], ahead[k - 1])
-        for k in range(t - 2, -1, -1):
-            after = behind[k + 1] + emit[k + 1]
-            behind[k] = np.where(on[k + 1][:, None], np.logaddexp(after[:, :1] + step[:, 0], after[:, 1:] + step[:, 1]), 0)
-        norm = np.logaddexp(ahead[-1][:, 0], ahead[-1][:, 1])
-        content = np.exp(ahead[:, :, 1] + behind[:, :, 1] - norm) * on
-        pair = ahead[:-1, :, :, None] + step + (emit[1:] + behind[1:])[:, :, None, :] - norm[None, :, None, None]
-        expected = (np.exp(np.where(both[:, :, None, None], pair, -np.inf))).sum(axis=(0, 1))
-        gradient = np.concatenate([(known - np.einsum("tnk,tn->k", x, content)) / total - penalty * weights, ((steps - expected) / total).ravel() - penalty * step.ravel()])
+        _, gradient = likelihood(sequences, labels, weights, step)
+        gradient = gradient / lines - penalty * np.concatenate([weights, step.ravel()])
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-        move = rate * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
+        move = rate * (1 - r / rounds / 2) * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
         weights, step = weights + move[:-4], step + move[-4:].reshape(2, 2)
     return weights, step
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on a bounded sample of labelled documents (`train_docs`)."""
-    chosen = (
-        labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .select("doc_id", "quality")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(train_docs)
-    )
+def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [line_features((t.as_py() or "").encode())[0] for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("quality"), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())],
+            names=["doc_id", "quality", "n_lines", "features"],
+        )
+
+
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = 2000, train_lines: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on a bounded sample: at most `train_docs` labelled documents, whole, with at most `train_lines` lines together.
+
+    Features are made where the texts are. Of rows that share an id or its labels one counts.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("long").alias("quality"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_line_rows, f"doc_id {kind}, quality long, n_lines long, features binary")
+    rows = written(rows.groupBy("doc_id").agg(F.min(F.struct("n_lines", "features", "quality")).alias("x")).select("doc_id", "x.*"), "crf-lines")
+    wanted, left = [], train_lines
+    for r in rows.select("doc_id", "n_lines").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most train_docs rows
+        if r.n_lines <= left:
+            wanted.append((r.doc_id,))
+            left -= r.n_lines
+    wanted = docs.sparkSession.createDataFrame(wanted, f"doc_id {kind}")
     sequences, marks = [], []
-    for row in docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toLocalIterator():
-        x, _, _ = line_features((row.text or "").encode())
+    for row in rows.join(F.broadcast(wanted), "doc_id").orderBy("doc_id").toLocalIterator():
+        x = np.frombuffer(row.features).reshape(-1, len(FEATURES))
         sequences.append(x)
         marks.append((x[:, 7] == 0) & (row.quality == 1))
     return fit(sequences, marks)

@@ -45,6 +45,30 @@ def test_viterbi_is_the_best_path():
         assert math.isclose(value(line_crf.viterbi(emit, step).astype(int).tolist()), max(map(value, paths)))
 
 
+def test_crf_likelihood_and_gradient():
+    draw = np.random.default_rng(3)
+    sequences = [draw.normal(size=(n, 3)) for n in (1, 2, 5, 7, 0)]
+    labels = [draw.random(len(s)) < 0.5 for s in sequences]
+    weights, step = draw.normal(size=3), draw.normal(size=(2, 2))
+
+    def value(flat):
+        w, s, total = flat[:3], flat[3:].reshape(2, 2), 0.0
+        for x, y in zip(sequences, labels, strict=True):
+            def path(p, x=x):
+                return sum(x[k] @ w for k in range(len(x)) if p[k]) + sum(s[a, b] for a, b in zip(p, p[1:], strict=False))
+
+            every = [[k >> i & 1 for i in range(len(x))] for k in range(1 << len(x))]
+            total += path(y.astype(int)) - math.log(sum(math.exp(path(p)) for p in every)) if len(x) else 0
+        return total
+
+    flat = np.concatenate([weights, step.ravel()])
+    found, gradient = line_crf.likelihood(sequences, labels, weights, step)
+    assert math.isclose(found, value(flat), rel_tol=1e-9)
+    for k in range(len(flat)):
+        move = np.eye(len(flat))[k] * 1e-5
+        assert math.isclose(gradient[k], (value(flat + move) - value(flat - move)) / 2e-5, rel_tol=1e-5, abs_tol=1e-6)
+
+
 def test_quality_rules_keep_clean_documents(sample):
     labels = {r.doc_id: r.quality for r in sample["labels"].collect()}
     rows = line_crf.assess(sample["documents"], sample["labels"]).collect()
@@ -83,6 +107,23 @@ def test_classifier_reads_whole_texts():
         assert net.features([b"", text, b"ab"])[:, len(net.bias)].tolist() == [0, 1, 0]
 
 
+def test_classifier_equals_plain_convolution():
+    net, draw = byte_cnn.ByteNet(), np.random.default_rng(8)
+    texts = [bytes(draw.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 5, 6, 261, 262, 700, 40_000)]
+    for text, found in zip(texts, net.features(texts), strict=True):
+        data, best = text.ljust(byte_cnn.WIDTH, b"\0"), []
+        for lo in range(0, len(data) - byte_cnn.WIDTH + 1, byte_cnn.CHUNK) if text else ():
+            places = range(lo, min(lo + byte_cnn.CHUNK, len(data) - byte_cnn.WIDTH + 1))
+            best.append(np.maximum(np.max([sum(net.table[j, data[p + j]] for j in range(byte_cnn.WIDTH)) for p in places], axis=0) + net.bias, 0))
+        want = np.concatenate([np.mean(best, axis=0), np.max(best, axis=0)]) if best else np.zeros(2 * len(net.bias))
+        assert np.allclose(found, want, atol=1e-4)
+
+
+def test_classifier_learns_from_empty_and_long_texts():
+    texts, labels = [b"", b"good words here " * 2000, b"", b"bad ### noise $$$ " * 10] * 10, np.array([0, 1, 0, 0] * 10)
+    assert (np.round(byte_cnn.train(texts, labels).scores(texts)) == labels).all()
+
+
 def test_classifier_cases(odd_docs, no_docs, no_labels, sample):
     for labels in (sample["labels"], no_labels):
         rows = byte_cnn.classify(odd_docs, labels).collect()

@@ -10,7 +10,7 @@ grow with a text's length.
 
 The network is trained on the driver by Adam on at most `train_docs` labelled
 documents of at most `train_bytes` together, chosen by a hash of the id, half of them of each label
-as far as there are; each epoch reads all chunks of all of them, as scoring does. Labels are learned
+as far as there are, in `updates` steps over shuffled batches; a step reads all chunks of its texts, as scoring does. Labels are learned
 only from rows whose crc32 of the id modulo `folds` is not 0; id, source, language
 and labels are never inputs.
 
@@ -101,7 +101,7 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 20, rate: float = 0.01, penalty: float = 1e-4, seed: int = 5) -> ByteNet:
+def train(texts: list[bytes], labels: np.ndarray, updates: int = 480, rate: float = 0.01, penalty: float = 1e-4, seed: int = 5) -> ByteNet:
     """Adam on log loss; gradients reach a filter only where it is maximal, so they are sparse sums."""
     net, draw = ByteNet(), np.random.default_rng(seed)
     labels = np.asarray(labels, dtype=np.float64)
@@ -115,11 +115,11 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 20, rate: float
     parameters = [*net.parameters(), np.zeros(1)]
     parameters[3][0] = net.offset
     moments = [(np.zeros(p.shape), np.zeros(p.shape)) for p in parameters]
-    steps = 0
-    for epoch in range(epochs):
+    steps, size = 0, min(128, len(texts))
+    while steps < updates:
         order = draw.permutation(len(texts))
-        for lo in range(0, len(order), 128):
-            batch = order[lo : lo + 128]
+        for lo in range(0, len(order) - size + 1, size):
+            batch = order[lo : lo + size]
             pieces, owner = [], []
             for k, i in enumerate(batch.tolist()):
                 for c in range(-(-max(len(texts[i]) - WIDTH + 1, 1) // CHUNK) if texts[i] else 0):
@@ -158,7 +158,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 20, rate: float
                 g = g + penalty * p
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                p -= (rate * (1 - epoch / epochs) * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-8)).astype(p.dtype)
+                p -= (rate * max(0.0, 1 - steps / updates) * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-8)).astype(p.dtype)
     net.offset = np.float32(parameters[3][0])
     return net
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Test items are put in partitions by their number of five-word shingles (up to 4,
-8, 16, ...). For each partition that has items, a document is covered by windows
+8, 16, ...). Items of the first partition are looked up by each of their shingles, which misses none.
+For each other partition that has items, a document is covered by windows
 of two blocks of the partition's size, one block apart, so an item that is copied
 lies whole in some window whose size is near its own, however long the document:
 containment of 0.8 is then a Jaccard similarity of 0.1 at least with the window. A window
@@ -13,7 +14,7 @@ by exact containment: the item's distinct shingles that occur anywhere in the do
 
 Defined cases: null and empty texts match nothing; a text of one to four words has
 one shingle of them all, so such an item matches only documents of just these words;
-repeated rows and repeated items each give their pairs; null ids are kept; empty
+texts of any length are searched whole; items held in equal shares each have their pair; repeated rows and repeated items each give their pairs; null ids are kept; empty
 tables give no pairs; other columns are passed by `clean` and ignored by `search`.
 """
 
@@ -45,6 +46,10 @@ def _value_keys(minima: np.ndarray, classes: np.ndarray | int) -> np.ndarray:
     return mix(minima.astype(np.uint64) | (place + np.uint64(1)) << np.uint64(32))
 
 
+def _shingle_keys(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes ^ np.uint64(0x2545F4914F6CDD1D))
+
+
 class Bloom:
     """Two-probe filter of fixed size over 64-bit keys."""
 
@@ -77,13 +82,15 @@ def _items(batches: Iterator[pa.RecordBatch], n: int, perms: int) -> Iterator[pa
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
             classes = np.array([size_class(int(s)) for s in sizes[full]], dtype=np.int64)
-            keys = _value_keys(hashing.minima(sets, bounds[:-1][full]), classes)
+            keys = _value_keys(hashing.minima(sets, bounds[:-1][full]), classes).view(np.int64)
+            # Short items have their shingles for keys: a window would hold many others.
+            keys = [_shingle_keys(sets[bounds[i] : bounds[i + 1]]).view(np.int64) if c == 0 else k for i, c, k in zip(full.tolist(), classes.tolist(), keys, strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "item_id": batch.column("item_id").slice(lo, hi - lo).take(pa.array(full)),
                     "size_class": pa.array(classes, pa.int32()),
                     "shingles": pa.array([sets[bounds[i] : bounds[i + 1]].view(np.int64) for i in full], pa.list_(pa.int64())),
-                    "keys": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
+                    "keys": pa.array(keys, pa.list_(pa.int64())),
                 }
             )
 
@@ -106,6 +113,8 @@ def _starts(bounds: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _windows(hashes: np.ndarray, bounds: np.ndarray, classes: list[int], hashing: Permutations) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(class, minima of its windows, text of each) from the smallest class up."""
+    if not classes:
+        return
     held = classes[0]
     starts, runs = _starts(bounds, SMALLEST << held)
     minima = hashing.minima(hashes, starts)
@@ -129,7 +138,12 @@ def _search(batches: Iterator[pa.RecordBatch], filters, classes: list[int], n: i
         for lo, hi in blocks(texts):
             hashes, bounds = shingle_hashes(texts[lo:hi], n)
             hits: dict[int, list[int]] = {}
-            for c, window, text in _windows(hashes, bounds, classes, hashing):
+            if classes[0] == 0:
+                keys = _shingle_keys(hashes)
+                at = values.holds(keys)
+                for text, key in zip((np.searchsorted(bounds, at, side="right") - 1).tolist(), keys[at].view(np.int64).tolist(), strict=True):
+                    hits.setdefault(text, []).append(key)
+            for c, window, text in _windows(hashes, bounds, [c for c in classes if c], hashing):
                 keys = _value_keys(window, c).ravel()
                 for at in values.holds(keys).tolist():
                     hits.setdefault(int(text[at // perms]), []).append(int(keys[at].view(np.int64)))

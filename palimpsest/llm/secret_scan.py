@@ -1,31 +1,31 @@
 """Secret scans over an incremental blob ledger.
 
 Each version of a path is addressed by the SHA-256 of its content. The ledger is a
-Parquet table with one row per (blob, rule version) that has been scanned; a run
-scans only the distinct blobs that have no row for the current rules, appends
+Parquet table of findings by (blob, rule version), a folder for each run; a run
+scans only the distinct blobs that have no row for the current rules, adds
 theirs, and joins the findings back to every path that holds the blob. Running
-again over the same versions scans nothing.
+again over the same versions scans nothing. Runs may overlap or be repeated: a blob counts
+once however often it was entered. The rule version follows from the patterns.
 
-Defined cases: null text is the empty blob; repeated rows each get the blob's
-findings; null ids are kept; an empty table gives no rows; other columns are
-ignored. Positions are code points, ends exclusive.
+Defined cases: null text is the empty blob; texts of any length are scanned whole; repeated rows each get the blob's
+findings; null ids are kept; an empty table gives no rows; columns other than `paths` are
+ignored. Positions are code points, ends exclusive; spans that start at one place come in the order of `KINDS`.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import fresh_path
-
-#: Bump with any change to the patterns: earlier blobs are then scanned anew.
-RULES_VERSION = 2
+from palimpsest.llm.shared import filesystem, fresh_path
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -39,6 +39,8 @@ _ADDED = (
     ("url_login", "://", re.compile(r"[a-z][a-z0-9+.-]{1,15}://[^\s/:@]+:[^\s/:@]{3,}@[A-Za-z0-9.-]+")),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _, _ in _ADDED))
+#: Any change to kinds or patterns gives another number: earlier blobs are then scanned anew.
+RULES_VERSION = zlib.crc32(repr([KINDS, _ASSIGN.pattern, _ACCESS.pattern, _HEX.pattern, _KEY_WORDS, 12, 18, *((w, p.pattern) for _, w, p in _ADDED)]).encode()) >> 1
 
 
 def find_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,21 +81,25 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LEDGER = "blob binary, rules int, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def scan(versions: DataFrame, ledger: str | None = None) -> DataFrame:
-    """Findings of every version: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+def scan(versions: DataFrame, ledger: str | None = None, paths: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Findings of every version: its `paths` columns, n_assign, n_access, n_hex, base_sha256, spans.
 
     `ledger` is the table's folder in shared storage; without one a new ledger is begun.
     """
     spark = versions.sparkSession
-    path = ledger or fresh_path(spark, "ledger")
+    folder = ledger or fresh_path(spark, "ledger")
     content = F.coalesce("text", F.lit(""))
-    addressed = versions.select("doc_id", F.unhex(F.sha2(content, 256)).alias("blob"), content.alias("text"))
+    addressed = versions.select(F.struct(*paths).alias("path"), F.unhex(F.sha2(content, 256)).alias("blob"), content.alias("text"))
     blobs = addressed.groupBy("blob").agg(F.first("text").alias("text"))
-    try:
-        known = spark.read.schema(_LEDGER).parquet(path).filter(F.col("rules") == RULES_VERSION).select("blob")
-        blobs = blobs.join(known, "blob", "left_anti")
-    except AnalysisException:
-        pass  # the ledger's first run
-    blobs.mapInArrow(_scan, _LEDGER).write.mode("append").parquet(path)
-    findings = spark.read.schema(_LEDGER).parquet(path).filter(F.col("rules") == RULES_VERSION).drop("rules")
-    return addressed.select("doc_id", "blob").join(findings, "blob").drop("blob")
+
+    def entries() -> DataFrame:
+        found = spark.read.schema(_LEDGER).option("recursiveFileLookup", "true").parquet(folder)
+        return found.filter(F.col("rules") == RULES_VERSION).drop("rules")
+
+    store, at = filesystem(folder)
+    if store.get_file_info(at).type != fs.FileType.NotFound:
+        blobs = blobs.join(entries().select("blob"), "blob", "left_anti")
+    blobs.mapInArrow(_scan, _LEDGER).write.parquet(f"{folder}/run-{uuid.uuid4().hex}")
+    # A blob's entries under one rule version are equal: any of them will do.
+    findings = entries().groupBy("blob").agg(*[F.max(c).alias(c) for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+    return addressed.select("path", "blob").join(findings, "blob").select("path.*", "n_assign", "n_access", "n_hex", "base_sha256", "spans")

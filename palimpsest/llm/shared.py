@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.sources.shared import fresh_path, shared_dir, written
 
-__all__ = ["filesystem", "one_thread", "fresh_path", "read_table", "shared_dir", "written"]
+__all__ = ["filesystem", "one_thread", "fresh_path", "read_table", "shared_dir", "whole_numbers", "written"]
 
 
 def filesystem(uri: str):
@@ -27,6 +27,13 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def whole_numbers(df: DataFrame, column: str) -> None:
+    """Refuse a column that is not of an integer type."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{column} must be an integer column, not {kind}")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

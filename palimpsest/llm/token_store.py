@@ -15,7 +15,8 @@ one boundary by scanning a few bytes and no 64-bit offset table exists.
 
 Defined cases: null text is empty (its document has only the end id); null ids
 sort first and stay null; repeated ids are separate documents in any order among
-themselves; an empty table has no shard; other columns are ignored.
+themselves; texts of any length are encoded whole; an empty table has no shard; other columns are ignored;
+ids that are not integers are refused.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import filesystem, fresh_path, written
+from palimpsest.llm.shared import filesystem, fresh_path, whole_numbers, written
 from palimpsest.llm.tokens import default_tokenizer, encoder, widen
 
 MAGIC = b"PLMPIDS1"
@@ -190,6 +191,7 @@ def _read_shards(batches: Iterator[pa.RecordBatch], block: int = 1024) -> Iterat
 def write_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """Write every document's ids; returns the manifest (shard, path, n_docs, n_ids, base)."""
     spark = docs.sparkSession
+    whole_numbers(docs, "doc_id")
     path, folder = tokenizer or default_tokenizer(), fresh_path(spark, "ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     shards = written(rows.mapInArrow(lambda b: _write_shard(b, folder, path, end_id), "shard int, path string, n_docs long, n_ids long"), "id-manifest")

@@ -14,18 +14,8 @@ import re
 from array import array
 
 import numpy as np
-import regex
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-# Fixed value: the published split pattern of byte-level BPE.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-
-
-def _byte_letters() -> dict[int, str]:
-    """Byte-level BPE writes printable Latin-1 bytes as themselves, the others from U+0100 on."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    rest = iter(range(0x100, 0x200))
-    return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
 class Encoder:
@@ -47,8 +37,7 @@ class Encoder:
             and spec["model"]["type"] == "BPE"
         )
         self.cache_entries = cache_entries
-        self.letters = _byte_letters()
-        self.model = self.tokenizer.model
+        self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.spaced: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         # Special strings must stay ordinary text, which the word path cannot promise.
@@ -59,11 +48,10 @@ class Encoder:
 
     def _word(self, text: str) -> bytes:
         out = []
-        for part in _SPLIT.findall(text):
+        for part, _ in self.pre.pre_tokenize_str(text):
             ids = self.parts.get(part)
             if ids is None:
-                letters = part.encode().decode("latin-1").translate(self.letters)
-                ids = self._pack([t.id for t in self.model.tokenize(letters)])
+                ids = self._pack([t.id for t in self.model.tokenize(part)])
                 if len(self.parts) >= self.cache_entries:
                     self.parts.clear()
                 self.parts[part] = ids

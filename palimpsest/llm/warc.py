@@ -11,8 +11,9 @@ of the pages share costs one row.
 
 Defined cases: null html is an empty payload; null ids are responses unless an
 equal payload has an id; rows that repeat the largest id are all responses; null
-or multi-line urls are percent-escaped; an archive of too few records for a
-dictionary has none; an empty table has no archive; other columns are ignored.
+or multi-line urls are percent-escaped; an archive of too few records to train a
+dictionary gets one of their beginnings; a payload of any length is one record and may fill an
+archive alone; an empty table has no archive; other columns are ignored; ids that are not integers are refused.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import filesystem, fresh_path, written
+from palimpsest.llm.shared import filesystem, fresh_path, whole_numbers, written
 
 # Fixed values of the published formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -77,18 +78,18 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return head, http, block[http_end + 4 :]
 
 
-def dictionary(records: list[bytes], size: int = 112 << 10, sample_bytes: int = 8 << 20) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from records spread evenly over the archive; None if they are too few."""
+def dictionary(records: list[bytes], size: int = 112 << 10, sample_bytes: int = 8 << 20) -> zstandard.ZstdCompressionDict:
+    """A dictionary from records spread evenly over the archive; where they are too few to train one, their beginnings are it."""
     total = sum(map(len, records))
-    step = max(1, -(-total // sample_bytes))
-    samples = records[::step]
-    size = min(size, sum(map(len, samples)) // 8)
-    if len(samples) < 8 or size < 256:
-        return None
-    try:
-        return zstandard.train_dictionary(size, samples, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+    samples = records[:: max(1, -(-total // sample_bytes))]
+    trained = min(size, sum(map(len, samples)) // 8)
+    if len(samples) >= 8 and trained >= 256:
+        try:
+            return zstandard.train_dictionary(trained, samples, k=256, d=8)
+        except zstandard.ZstdError:
+            pass  # samples that have nothing in common: raw content serves them as well
+    content = b"".join(r[: max(256, size // len(samples))] for r in samples)[:size]
+    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def write_archive(path: str, records: list[bytes], level: int = 3) -> int:
@@ -98,9 +99,8 @@ def write_archive(path: str, records: list[bytes], level: int = 3) -> int:
     coder = zstandard.ZstdCompressor(level=level, dict_data=found, write_content_size=True)
     size = 0
     with fs.open_output_stream(at, compression=None) as out:
-        if found is not None:
-            data = found.as_bytes()
-            size += out.write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
+        data = found.as_bytes()
+        size += out.write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
         for r in records:
             size += out.write(coder.compress(r))
     return size
@@ -188,6 +188,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 32 << 20) -> DataFrame:
     """Write all pages; returns the manifest (path, n_records, bytes)."""
+    whole_numbers(pages, "page_id")
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     html = F.coalesce("html", F.lit(""))

@@ -245,6 +245,7 @@ def test_decontamination_equals_brute_force(spark):
             at = draw.randrange(len(words))
             words[at:at] = part[cut:]
         docs.append((d, " ".join(words)))
+    docs += [(2000 + k, " ".join([draw.choice(vocabulary) for _ in range(700)] + [items[k][1]] + [draw.choice(vocabulary) for _ in range(700)])) for k in (2, 3)]
     docs += [(1000, items[0][1]), (1001, items[1][1]), (1002, None), (1003, ""), (None, items[7][1])]
     want = set()
     for d, t in docs:

@@ -161,9 +161,17 @@ def test_archive_dictionary(tmp_path):
     import zstandard
 
     assert size < sum(len(zstandard.compress(r)) for r in records)
-    few = f"{tmp_path}/b.warc.zst"
-    warc.write_archive(few, records[:2])
-    assert list(warc.read_archive(few)) == records[:2]
+    for few in (records[:1], records[:2], [records[0], b"x" * 9_000_000, *records[1:3]]):
+        path = f"{tmp_path}/{len(few)}.warc.zst"
+        warc.write_archive(path, few)
+        assert list(warc.read_archive(path)) == few
+        with open(path, "rb") as f:
+            assert f.read(4) == warc.DICTIONARY_MAGIC.to_bytes(4, "little")
+
+
+def test_archive_refuses_other_ids(spark):
+    with pytest.raises(ValueError):
+        warc.archive(spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string"))
 
 
 def brute_secrets(text):
@@ -198,11 +206,23 @@ def test_secret_spans(spark, tmp_path):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
     assert {r.spans.split(":")[0] for r in rows} >= {"private_key", "forge_token", "jwt"}
-    before = spark.read.parquet(ledger)
+    before = spark.read.option("recursiveFileLookup", "true").parquet(ledger)
     assert before.count() == len(set(t or "" for t in SECRETS))
     more = docs.unionByName(spark.createDataFrame([(99, "new passwd=abcdefghijkl")], "doc_id long, text string"))
     assert secret_scan.scan(more, ledger).filter("doc_id = 99").first().n_assign == 1
-    assert spark.read.parquet(ledger).count() == len(set(t or "" for t in SECRETS)) + 1  # only the unseen blob was scanned
+    assert spark.read.option("recursiveFileLookup", "true").parquet(ledger).count() == len(set(t or "" for t in SECRETS)) + 1  # only the unseen blob was scanned
+
+
+def test_ledger_counts_a_blob_once(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"dir/{i}", t, "spans") for i, t in enumerate(SECRETS)], "doc_id long, path string, text string, spans string")
+    ledger = f"file://{tmp_path}/twice"
+    first = sorted(map(str, secret_scan.scan(docs, ledger).collect()))
+    run = next((tmp_path / "twice").iterdir())
+    import shutil
+
+    shutil.copytree(run, tmp_path / "twice" / "run-again")  # as an overlapping run would have left it
+    assert sorted(map(str, secret_scan.scan(docs, ledger).collect())) == first and len(first) == len(SECRETS)
+    assert secret_scan.scan(docs, ledger, ("doc_id", "path")).columns[:2] == ["doc_id", "path"]
 
 
 def test_secret_cases(odd_docs, no_docs):

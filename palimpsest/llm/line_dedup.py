@@ -9,7 +9,7 @@ within d edits there is a segment i of the shorter one which occurs unchanged in
 other, with at most i - 1 edits to its left and d + 1 - i to its right; this bounds
 its shift, so each line yields its own segments and its substrings at just those shifts, for its own
 length and each shorter one that the edits can bridge. Keys with a single distinct
-line are dropped by counting, before any text moves. A key with more than `most`
+line are dropped by counting. A key with more than `most`
 lines is split further: the same rule holds for what is left beside the segment, so its
 lines get the keys of that rest, level by level. Lines that share a last key are verified by a
 banded bit-parallel automaton: one bit per diagonal and edit count, advanced over
@@ -161,24 +161,24 @@ def _lines(docs: DataFrame) -> DataFrame:
     return given.select(pos, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _split_hot(members: DataFrame, texts: DataFrame, max_edits: int, most: int, levels: int) -> DataFrame:
-    """(key, h1, h2) of keys with at most `most` lines, as far as `levels` of splitting get there."""
+def _split_hot(members: DataFrame, texts: DataFrame, max_edits: int, per_edit: int, most: int, levels: int) -> DataFrame:
+    """(key, id) of keys with at most `most` lines, as far as `levels` of splitting get there."""
     sized = members.groupBy("key").agg(F.count("*").alias("n"))
-    done = members.join(sized.filter((F.col("n") > 1) & (F.col("n") <= most)), "key").select("key", "h1", "h2").distinct()
     hot = written(sized.filter(F.col("n") > most).select("key"), "line-hot")
     if hot.isEmpty():
-        return done
+        return members
+    done = members.join(hot, "key", "left_anti")
+    lines = texts.join(members.join(hot, "key").select("id").distinct(), "id", "left_semi").select("id", "line")
     # A hot key's own segment is found again in the whole line, whose rest is the line itself.
-    now = members.join(hot, "key").join(texts.select("h1", "h2", "size"), ["h1", "h2"])
-    now = now.select("h1", "h2", "key", "kind", F.lit(0).alias("at"), "size", "extra", "edits")
+    now = with_keys(lines, max_edits, per_edit).join(hot, "key").select("id", "key", "kind", F.lit(0).alias("at"), "size", "extra", "edits")
     for level in range(levels + 1):
-        rest = now.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).withColumn("rest", F.col("line").substr(F.col("at") + 1, F.col("size")))
+        rest = now.join(texts.select("id", "line"), "id").withColumn("rest", F.col("line").substr(F.col("at") + 1, F.col("size")))
         found = F.array(*rest_of(F.col("at"), max_edits))
         rest = with_segments(rest)
         if level == 0:
-            rest = rest.select("h1", "h2", "key", F.element_at(found, F.col("kind") + 1).alias("x")).select("h1", "h2", "key", *[f"x.{c}" for c in ("at", "size", "extra", "edits")])
+            rest = rest.select("id", "key", F.element_at(found, F.col("kind") + 1).alias("x")).select("id", "key", *[f"x.{c}" for c in ("at", "size", "extra", "edits")])
         else:
-            rest = rest.select("h1", "h2", F.explode(found).alias("x")).filter("x is not null").select("h1", "h2", "x.*").distinct()
+            rest = rest.select("id", F.explode(found).alias("x")).filter("x is not null").select("id", "x.*").distinct()
         rest = written(rest, "line-split")
         sized = rest.groupBy("key").agg(F.count("*").alias("n"))
         rest = rest.join(sized.filter("n > 1"), "key")
@@ -186,7 +186,7 @@ def _split_hot(members: DataFrame, texts: DataFrame, max_edits: int, most: int,
         again = (F.col("n") > most) & (F.col("size") - F.col("extra") > 2 * F.col("edits") + 1)
         if level == levels:
             again = F.lit(False)
-        done = done.unionByName(rest.filter(~again).select("key", "h1", "h2").distinct())
+        done = done.unionByName(rest.filter(~again).select("key", "id").distinct())
         now = written(rest.filter(again).drop("n"), "line-hot")
         if now.isEmpty():
             break
@@ -194,26 +194,28 @@ def _split_hot(members: DataFrame, texts: DataFrame, max_edits: int, most: int,
 
 
 def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block: int = 32, most: int = 64, levels: int = 4, cell_chars: int = 1 << 20) -> DataFrame:
-    """Hashes (h1, h2) of the lines with an earlier line within the edits."""
-    entries = with_keys(lines.select("h1", "line"), max_edits, per_edit).select("key", "h1")
-    shared = written(entries.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"), "line-keys")
-    entries = with_keys(lines.select("h1", "h2", "line"), max_edits, per_edit).select("key", "h1", "h2", "kind", "extra", "edits")
-    members = written(entries.join(shared, "key").distinct(), "line-members")
-    some = members.select("h1", "h2").distinct()
-    texts = lines.join(some, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.first("line").alias("line"))
+    """Of different lines (id, pos, line): the ids of those with an earlier line within the edits."""
+    # Dealt once by key, as rows of two numbers, for counting and for joining the counts. The sides that grow
+    # with the corpus are not offered for broadcasting.
+    entries = with_keys(lines.select("id", "line"), max_edits, per_edit).select("key", "id").repartition("key")
+    shared = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
+    members = written(entries.join(shared.hint("merge"), "key").distinct(), "line-members")
     size = F.char_length("line")
     counts = [(size - F.char_length(F.translate("line", chars, ""))).alias(f"c{k}") for k, chars in enumerate(_COUNTED)]
-    texts = written(texts.select("h1", "h2", "pos", "line", size.alias("size"), F.least(F.lit(max_edits), F.floor(size / per_edit).cast("int")).alias("edits"), _pieces("line").alias("pieces"), *counts), "line-texts")
-    members = written(_split_hot(members, texts, max_edits, most, levels), "line-groups")
+    texts = lines.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    texts = texts.select("id", "pos", "line", size.alias("size"), F.least(F.lit(max_edits), F.floor(size / per_edit).cast("int")).alias("edits"), _pieces("line").alias("pieces"), *counts)
+    texts = written(texts, "line-texts")
+    members = written(_split_hot(members, texts, max_edits, per_edit, most, levels), "line-groups")
     # Keys with the same lines do the same work: one of them is enough.
-    same = members.join(texts.select("h1", "h2", "size"), ["h1", "h2"]).groupBy("key").agg(
-        F.count("*").alias("n"), F.sum("size").alias("chars"), F.min("h1").alias("low"), F.bit_xor("h1").alias("x"), F.sum(F.col("h2").cast("decimal(20,0)")).alias("s")
+    member = F.xxhash64("id")
+    same = members.join(texts.select("id", "size"), "id").groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("size").alias("chars"), F.min("id").alias("low"), F.bit_xor(member).alias("x"), F.sum(member.cast("decimal(20,0)")).alias("s")
     )
     n_blocks = F.greatest(F.when(F.max("n") <= most, 1).otherwise(F.ceil(F.max("n") / block)), F.ceil(F.max("chars") / cell_chars)).cast("int")
     chosen = same.filter("n > 1").groupBy("n", "low", "x", "s").agg(F.min("key").alias("key"), n_blocks.alias("n_blocks")).select("key", "n_blocks")
-    dealt = members.select("key", "h1", "h2").join(chosen, "key").join(texts, ["h1", "h2"]).withColumn("block", F.pmod(F.xxhash64("h1", "h2"), F.col("n_blocks")).cast("int"))
+    dealt = members.join(chosen, "key").join(texts, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    line = F.struct("h1", "h2", "pos", "block", "line", "size", "edits", "pieces", *[f"c{k}" for k in range(len(_COUNTED))]).alias("x")
+    line = F.struct("id", "pos", "block", "line", "size", "edits", "pieces", *[f"c{k}" for k in range(len(_COUNTED))]).alias("x")
     cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), line).groupBy("key", "i", "j").agg(F.collect_list("x").alias("xs"))
 
     def has_earlier(y: Column) -> Column:
@@ -232,7 +234,7 @@ def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block:
 
         return F.exists("xs", matches)
 
-    return cells.select(F.explode(F.filter("xs", has_earlier)).alias("y")).select("y.h1", "y.h2").distinct()
+    return cells.select(F.explode(F.filter("xs", has_earlier)).alias("y")).select("y.id").distinct()
 
 
 def decide(docs: DataFrame, max_edits: int = 2, per_edit: int = 10, **tuning: int) -> DataFrame:
@@ -240,17 +242,17 @@ def decide(docs: DataFrame, max_edits: int = 2, per_edit: int = 10, **tuning: in
     if not 0 < max_edits <= 3:
         raise ValueError("max_edits must be 1 to 3: the automaton's state is one 32-bit integer")
     lines = _lines(docs)
-    copies = lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    close = near_lines(lines, max_edits, per_edit, **tuning).withColumn("close", F.lit(True))
-    # Written first, so that the planner knows their sizes.
-    rules = written(copies.join(close, ["h1", "h2"], "full"), "line-rules")
-    again = F.coalesce(F.col("pos") > F.col("first"), F.lit(False))
-    dropped = lines.select("pos", "h1", "h2").join(rules, ["h1", "h2"]).filter(F.col("close") | again)
+    different = lines.groupBy("h1", "h2").agg(F.min("pos").alias("pos"), F.count("*").alias("n"), F.first("line").alias("line"))
+    different = written(different.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "pos", "n", "line"), "lines")
+    close = written(near_lines(different.select("id", "pos", "line"), max_edits, per_edit, **tuning).withColumn("close", F.lit(True)), "line-near")
+    rules = different.select("id", "h1", "h2", F.col("pos").alias("first"), "n").join(close, "id", "left").filter("n > 1 or close").drop("id", "n")
+    again = F.col("pos") > F.col("first")
+    dropped = lines.select("pos", "h1", "h2").join(rules, ["h1", "h2"]).filter(F.coalesce("close", F.lit(False)) | again)
     dropped = dropped.select("pos.doc_id", "pos.text_key", "pos.line_no", again.alias("again"))
     dropped = dropped.groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.when(F.col("again"), F.col("line_no")))).alias("exact"), F.array_sort(F.collect_set(F.when(~F.col("again"), F.col("line_no")))).alias("near")
     )
-    return written(dropped, "line-drops")
+    return dropped
 
 
 def _joined(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -258,11 +260,11 @@ def _joined(docs: DataFrame, drops: DataFrame) -> DataFrame:
     given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), "doc_id", "text", F.expr(_TEXT_KEY).alias("text_key"))
     same = given.doc_id.eqNullSafe(drops.drop_id) & (given.text_key == drops.drop_key)
     none = F.array().cast("array<int>")
-    out = given.join(drops, same, "left").withColumn("exact", F.coalesce("exact", none)).withColumn("near", F.coalesce("near", none))
+    out = given.join(drops.hint("merge"), same, "left").withColumn("exact", F.coalesce("exact", none)).withColumn("near", F.coalesce("near", none))
+    out = out.withColumn("lines", F.split("text", "\n"))
     # Compared as sets of numbers, so a text with very many dropped lines is rebuilt in one pass.
-    lines, gone = F.split("text", "\n"), F.array_union("exact", "near")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.array_union("exact", "near"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
     return out.withColumn("kept", F.when(F.size("exact") + F.size("near") == 0, F.col("text")).otherwise(kept))
 
 
@@ -290,7 +292,7 @@ def report(docs: DataFrame, max_edits: int = 2, per_edit: int = 10, **tuning: in
     out = _joined(docs, decide(docs, max_edits, per_edit, **tuning))
     return out.select(
         "doc_id",
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines")), F.lit(0)).cast("long").alias("n_lines"),
         F.size("exact").cast("long").alias("n_exact"),
         F.size("near").cast("long").alias("n_near"),
         F.col("kept").alias("text"),

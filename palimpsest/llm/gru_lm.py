@@ -41,7 +41,7 @@ from palimpsest.llm.shared import one_thread, written
 
 GROUP = 32
 #: Classes of the words outside the head: the last `HASHED` are for endings that are not frequent.
-TAILS = 64
+TAILS = 40
 HASHED = 8
 END = b""  # no word is empty
 

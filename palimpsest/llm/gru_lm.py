@@ -382,7 +382,7 @@ def score(
     folds: int = 7,
     remainder: int = 2,
     head: int = 1024,
-    hidden: int = 16,
+    hidden: int = 8,
     window: int = 32,
     block_bytes: int = 12 << 20,
     at_once: int = 1 << 20,

@@ -162,11 +162,12 @@ def diff_between_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query(
-    f"WITH s AS ({_as_of(5000)}), b AS (SELECT DISTINCT key, key % 2 AS gone FROM ({_LOG}) WHERE key % 5 = 0) "
+    f"WITH s AS ({_as_of(5000)}), b AS (SELECT DISTINCT key, key % 3 AS gone FROM ({_LOG}) WHERE key % 3 != 2) "
     "SELECT key, value FROM s WHERE key NOT IN (SELECT key FROM b) UNION ALL SELECT key, 'mine' FROM b WHERE gone = 0"
 )
 def txn_overlay_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _log(spark, sf_dir).filter("key % 5 = 0").select("key").distinct().select("key", F.lit("mine").alias("value"), F.when(F.col("key") % 2 == 0, 1).otherwise(2).alias("op"))
+    # Every key is dealt a part by its number: written, deleted, or left alone.
+    own = _log(spark, sf_dir).select("key").distinct().select("key", F.lit("mine").alias("value"), F.when(F.col("key") % 3 == 0, 1).when(F.col("key") % 3 == 1, 2).alias("op")).filter("op is not null")
     return versions.overlay(_at(spark, sf_dir, 5000).select("key", "value"), own)
 
 
@@ -176,7 +177,7 @@ _WRITES = """SELECT lpad(user_id::VARCHAR, 6, '0') AS key, CASE WHEN event_type
  CASE event_type WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 1 END AS kind, event_id * 10 AS start_ts, event_type AS value FROM events WHERE event_id % 3 != 0"""
 _LOCKS = """SELECT lpad(user_id::VARCHAR, 6, '0') AS key, event_id * 10 AS start_ts, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, event_id * 100 AS wall_ms
  FROM events WHERE event_id % 3 = 0 AND user_id % 4 != 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"""
-_REQUESTS = "SELECT lpad(user_id::VARCHAR, 6, '0') AS key, event_id * 10 AS start_ts FROM events WHERE event_id % 5 = 0"
+_REQUESTS = "SELECT lpad(user_id::VARCHAR, 6, '0') AS key, event_id * 10 AS start_ts FROM events"
 _NEWEST = f"SELECT * FROM ({_WRITES}) WHERE kind != 3 AND commit_ts <= 60000 QUALIFY row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC) = 1"
 _STATE = f"""WITH w AS ({_WRITES}), l AS ({_LOCKS}), r AS ({_REQUESTS}),
  o AS (SELECT key, start_ts, max(commit_ts) FILTER (kind != 3) AS committed_ts, max(kind = 3) AS rolled_back FROM w GROUP BY ALL),
@@ -195,7 +196,7 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     locks = versions.newest(events.filter("event_id % 3 = 0 and user_id % 4 != 0"), ["key"], ["event_id"]).select(
         "key", "start_ts", F.when(F.col("event_type") == "error", 2).otherwise(1).alias("op"), (F.col("event_id") * 100).alias("wall_ms"), F.col("key").alias("primary_key")
     )
-    return locks, writes, data, events.filter("event_id % 5 = 0").select("key", "start_ts")
+    return locks, writes, data, events.select("key", "start_ts")
 
 
 @_query(

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import give_back, written
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -207,21 +207,24 @@ def base_counts(text: str) -> tuple[bytes, int, int, int, int]:
 
 def _assess(batches: Iterator[pa.RecordBatch], weights: np.ndarray, step: np.ndarray, min_share: float, whole: bool) -> Iterator[pa.RecordBatch]:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    kinds = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64()]
     for batch in batches:
-        out: dict[str, list] = {c: [] for c in (*names, "base_failed", "kept", "content_share")}
-        for value in batch.column("text"):
-            data, n, chars, symbols, repeats = base_counts(value.as_py() or "")
-            x, words, again = line_features(data)
-            content = viterbi(x @ weights, step)
-            share = float(words[content].sum() / n) if n else 0.0
-            failed = n < 50 or 100 * repeats > 50 * n
-            for c, v in zip(out, (n, chars, symbols, again, repeats, failed, not failed and share >= min_share, share), strict=True):
-                out[c].append(v)
-        if whole:
-            yield batch.filter(pa.array(out["kept"], pa.bool_()))
-        else:
-            kinds = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
+        for lo in range(0, batch.num_rows, 512):
+            rows = batch.slice(lo, 512)
+            out: dict[str, list] = {c: [] for c in (*names, "base_failed", "kept", "content_share")}
+            for value in rows.column("text"):
+                data, n, chars, symbols, repeats = base_counts(value.as_py() or "")
+                x, words, again = line_features(data)
+                content = viterbi(x @ weights, step)
+                share = float(words[content].sum() / n) if n else 0.0
+                failed = n < 50 or 100 * repeats > 50 * n
+                for c, v in zip(out, (n, chars, symbols, again, repeats, failed, not failed and share >= min_share, share), strict=True):
+                    out[c].append(v)
+            if whole:
+                yield rows.filter(pa.array(out["kept"], pa.bool_()))
+            else:
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
+    give_back()
 
 
 def assess(docs: DataFrame, labels: DataFrame, min_share: float = 0.5, train_docs: int = 2000) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.sources.shared import fresh_path, shared_dir, written
 
-__all__ = ["filesystem", "one_thread", "fresh_path", "read_table", "shared_dir", "whole_numbers", "written"]
+__all__ = ["filesystem", "give_back", "one_thread", "fresh_path", "read_table", "shared_dir", "whole_numbers", "written"]
 
 
 def filesystem(uri: str):
@@ -54,3 +54,16 @@ def one_thread() -> None:
             if hasattr(library, name):
                 getattr(library, name)(1)
                 break
+
+
+def give_back() -> None:
+    """Return what a finished task's batches have left in this worker's allocators; it idles beside the next stage."""
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

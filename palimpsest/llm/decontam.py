@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import give_back, written
 from palimpsest.llm.shingles import Permutations, blocks, distinct, mix, shingle_hashes
 
 SMALLEST = 4
@@ -156,6 +156,7 @@ def _search(batches: Iterator[pa.RecordBatch], filters, classes: list[int], n: i
                 [batch.column("doc_id").take(rows), batch.column("text_key").take(rows), pa.array([sorted(set(hits[i])) for i in found], pa.list_(pa.int64())), pa.array(shared, pa.list_(pa.int64()))],
                 names=["doc_id", "text_key", "keys", "shingles"],
             )
+    give_back()
 
 
 def _pairs(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, perms: int) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.components import components
-from palimpsest.llm.shared import one_thread, written
+from palimpsest.llm.shared import give_back, one_thread, written
 from palimpsest.llm.shingles import Permutations, blocks, distinct, mix, shingle_hashes
 
 _VALUE = np.dtype(">u2")  # big-endian, so that labels sort like their values
@@ -84,6 +84,7 @@ def _sign(batches: Iterator[pa.RecordBatch], trees: int, depth: int, n: int) ->
                 names=[*batch.schema.names, "row", "set_a", "set_b", "n_shingles", "signature"],
             )
             row += hi - lo
+    give_back()
 
 
 def _intersections(sets: np.ndarray, bounds: np.ndarray, width: int = 4096) -> np.ndarray:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import give_back, written
 from palimpsest.llm.tokens import default_tokenizer, encoder
 
 _ONE = 1 << 32
@@ -234,6 +234,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) ->
                 [rows.column("doc_id"), rows.column("source"), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "source", "part", "local_start", "n_tokens", "ids"],
             )
+    give_back()
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], plan: Schedule, dtype: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -297,6 +298,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], plan: Schedule, dtype: str, with_
             cut = np.flatnonzero(new)
             doc = np.searchsorted(first, cut, side="right") - 1
             yield made(rows[doc], cut - first[doc], np.diff(np.append(cut, len(new))), window[cut], offset[cut])
+    give_back()
 
 
 def pack(

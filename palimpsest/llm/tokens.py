@@ -52,7 +52,7 @@ class Encoder:
             ids = self.parts.get(part)
             if ids is None:
                 ids = self._pack([t.id for t in self.model.tokenize(part)])
-                if len(self.parts) >= self.cache_entries:
+                if len(self.parts) >= self.cache_entries // 8:  # most are words that `spaced` holds whole
                     self.parts.clear()
                 self.parts[part] = ids
             out.append(ids)

@@ -21,7 +21,7 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 class Encoder:
     """Encodes lists of texts to little-endian id bytes of ``dtype``."""
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -94,7 +94,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, cache_entries: int = 1_000_000) -> Encoder:
+def encoder(path: str, cache_entries: int = 500_000) -> Encoder:
     """The worker's encoder for a tokenizer file; kept between tasks."""
     key = (path, cache_entries)
     if key not in _ENCODERS:

@@ -3,7 +3,7 @@
 The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. For a
 byte-level BPE without a normalizer, a text may be cut before every single space
 that a non-space follows without changing any id, so each space-led word is
-encoded once by the library's own pre-tokenizer and model and then looked up.
+split by the published pattern, encoded once by the library's model and then looked up.
 Texts in which spaces meet other white space take the library's ordinary path.
 """
 
@@ -14,14 +14,24 @@ import re
 from array import array
 
 import numpy as np
+import regex
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+# Fixed value: the published split pattern of byte-level BPE.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes printable Latin-1 bytes as themselves, the others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
 class Encoder:
     """Encodes lists of texts to little-endian id bytes of ``dtype``."""
 
-    def __init__(self, path: str, cache_entries: int = 500_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -37,7 +47,8 @@ class Encoder:
             and spec["model"]["type"] == "BPE"
         )
         self.cache_entries = cache_entries
-        self.model, self.pre = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
         self.spaced: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         # Special strings must stay ordinary text, which the word path cannot promise.
@@ -48,13 +59,15 @@ class Encoder:
 
     def _word(self, text: str) -> bytes:
         out = []
-        for part, _ in self.pre.pre_tokenize_str(text):
-            ids = self.parts.get(part)
+        for part in _SPLIT.findall(text):
+            # A part that is a space and a word is kept with the words, not twice.
+            known, name = (self.spaced, part[1:]) if part[0] == " " and len(part) > 1 else (self.parts, part)
+            ids = known.get(name)
             if ids is None:
-                ids = self._pack([t.id for t in self.model.tokenize(part)])
-                if len(self.parts) >= self.cache_entries // 8:  # most are words that `spaced` holds whole
-                    self.parts.clear()
-                self.parts[part] = ids
+                letters = part.encode().decode("latin-1").translate(self.letters)
+                ids = self._pack([t.id for t in self.model.tokenize(letters)])
+                if len(known) < self.cache_entries:
+                    known[name] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -94,7 +107,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, cache_entries: int = 500_000) -> Encoder:
+def encoder(path: str, cache_entries: int = 1_000_000) -> Encoder:
     """The worker's encoder for a tokenizer file; kept between tasks."""
     key = (path, cache_entries)
     if key not in _ENCODERS:

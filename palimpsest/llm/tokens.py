@@ -2,8 +2,8 @@
 
 The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. For a
 byte-level BPE without a normalizer, a text may be cut before every single space
-that a non-space follows without changing any id, so each space-led word is
-split by the published pattern, encoded once by the library's model and then looked up.
+that a non-space follows, and around single line ends, without changing any id, so each
+word is split by the published pattern, encoded by the library's model and then looked up.
 Texts in which spaces meet other white space take the library's ordinary path.
 """
 
@@ -16,7 +16,13 @@ from array import array
 import numpy as np
 import regex
 
+#: Words a worker remembers, and the longest of them in characters.
+_ENTRIES = 600_000
+_LONGEST = 64
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_ASCII_SPACES = "\t\r\v\f\x1c\x1d\x1e\x1f"
+#: Marks that end many words; no part of the split pattern begins inside a run of them.
+_MARKS = ".,;:!?\")]}*#$%&"
 # Fixed value: the published split pattern of byte-level BPE.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -28,10 +34,36 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b if b in own else next(rest)) for b in range(256)}
 
 
+def _split(text: str) -> list[str]:
+    """The parts of a word; letters alone or before marks need no pattern."""
+    head = text.rstrip(_MARKS)
+    if (head[1:] if head[:1] == " " else head).isalpha():
+        return [head, text[len(head) :]] if len(head) < len(text) else [text]
+    return _SPLIT.findall(text)
+
+
+class _Memo(dict):
+    """Remembers ids by word: two generations, so that frequent words stay when it is full."""
+
+    def __init__(self, make, entries: int):
+        self.make, self.entries, self.old = make, max(1, entries // 2), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids, keep = self.old.get(word), True
+        if ids is None:
+            ids, keep = self.make(word)
+        if keep and len(word) <= _LONGEST:
+            if len(self) >= self.entries:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Encodes lists of texts to little-endian id bytes of ``dtype``."""
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, cache_entries: int = _ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,37 +78,42 @@ class Encoder:
             and bool(pre.get("use_regex", True))
             and spec["model"]["type"] == "BPE"
         )
-        self.cache_entries = cache_entries
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
-        self.spaced: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        #: Ids of words after a space, or after a line end when they begin with it; ids of other parts of words.
+        self.spaced = _Memo(self._spaced, cache_entries)
+        self.bare = _Memo(lambda part: (self._part(part), True), cache_entries // 4)
         # Special strings must stay ordinary text, which the word path cannot promise.
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
 
     def _pack(self, ids: list[int]) -> bytes:
         return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
-    def _word(self, text: str) -> bytes:
-        out = []
-        for part in _SPLIT.findall(text):
-            # A part that is a space and a word is kept with the words, not twice.
-            known, name = (self.spaced, part[1:]) if part[0] == " " and len(part) > 1 else (self.parts, part)
-            ids = known.get(name)
-            if ids is None:
-                letters = part.encode().decode("latin-1").translate(self.letters)
-                ids = self._pack([t.id for t in self.model.tokenize(letters)])
-                if len(known) < self.cache_entries:
-                    known[name] = ids
-            out.append(ids)
-        return b"".join(out)
+    def _part(self, part: str) -> bytes:
+        letters = part.encode().decode("latin-1").translate(self.letters)
+        return self._pack([t.id for t in self.model.tokenize(letters)])
+
+    def _join(self, parts: list[str]) -> bytes:
+        return b"".join([self.spaced[p[1:]] if p[0] == " " and len(p) > 1 else self.bare[p] for p in parts])
+
+    def _spaced(self, word: str) -> tuple[bytes, bool]:
+        """A word's ids, and whether to remember them: of several parts only if the first was known."""
+        if word[:1] == "\n":
+            parts = _split(word[1:])
+            known = not parts or parts[0] in self.bare
+            return self._join(["\n", *parts]), known
+        parts = _split(" " + word)
+        if len(parts) == 1:
+            return self._part(parts[0]), True
+        known = parts[0][1:] in self.spaced
+        return self._join(parts), known
 
     def _plain(self, text: str) -> bool:
         return not (
             "  " in text
             or "\n " in text
             or " \n" in text
-            or _OTHER_SPACE.search(text)
+            or (any(c in text for c in _ASCII_SPACES) if text.isascii() else _OTHER_SPACE.search(text))
             or any(s in text for s in self.special)
         )
 
@@ -85,20 +122,11 @@ class Encoder:
             return b""
         if not self.by_word or not self._plain(text):
             return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-        words = text.split(" ")
-        spaced = self.spaced
-        try:
-            rest = b"".join(map(spaced.__getitem__, words[1:]))
-        except KeyError:
-            missing = [w for w in words[1:] if w not in spaced]
-            if len(spaced) + len(missing) > self.cache_entries:
-                spaced.clear()
-                missing = words[1:]
-            for w in missing:
-                if w not in spaced:
-                    spaced[w] = self._word(" " + w)
-            rest = b"".join(map(spaced.__getitem__, words[1:]))
-        return (self._word(words[0]) if words[0] else b"") + rest
+        # Line ends are parts of their own unless three meet or two end the text.
+        if "\n" in text and "\n\n\n" not in text and not text.endswith("\n\n"):
+            text = text.replace("\n", " \n")
+        first, *words = text.split(" ")
+        return self._join(_split(first)) + b"".join(map(self.spaced.__getitem__, words))
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         return [self.encode(t or "") for t in texts]
@@ -107,7 +135,7 @@ class Encoder:
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, cache_entries: int = 1_000_000) -> Encoder:
+def encoder(path: str, cache_entries: int = _ENTRIES) -> Encoder:
     """The worker's encoder for a tokenizer file; kept between tasks."""
     key = (path, cache_entries)
     if key not in _ENCODERS:

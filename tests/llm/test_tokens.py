@@ -6,8 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from palimpsest.llm import packing, token_store
-from palimpsest.llm.tokens import default_tokenizer, encoder, ids_of
+from palimpsest.llm.tokens import Encoder, default_tokenizer, encoder, ids_of
 
+FULL = []
 PIECES = st.sampled_from([" ", "  ", "\n", "\t", "\r\n", " ", "\x1c", "\x85", "the", "'s", "don't", "123", "é", "Straße", "!!", "<|endoftext|>", "日本", "\0", "a,b", "x" * 40])
 
 
@@ -22,6 +23,15 @@ def test_word_memo_gives_the_library_ids(text):
     assert ids_of(coder.encode(text), coder.dtype).tolist() == exact(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["the", "then,", "the.\n", "a\n\nb", "x\n\n\ny", "it's", "end\n\n", "...", "é\")", "12%", "y" * 70]), max_size=30).map(" ".join))
+def test_a_full_memo_gives_the_library_ids(text):
+    coder = Encoder(default_tokenizer(), 4) if not FULL else FULL[0]
+    FULL[:] = [coder]
+    assert ids_of(coder.encode(text), coder.dtype).tolist() == exact(text)
+    assert len(coder.spaced) <= 2 and len(coder.spaced.old) <= 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=1200).map(sorted))
 def test_elias_fano(values):

@@ -9,9 +9,8 @@ within d edits there is a segment i of the shorter one which occurs unchanged in
 other, with at most i - 1 edits to its left and d + 1 - i to its right; this bounds
 its shift, so each line yields its own segments and its substrings at just those shifts, for its own
 length and each shorter one that the edits can bridge. Keys with a single distinct
-line are dropped by counting. A key with more than `most`
-lines is split further: the same rule holds for what is left beside the segment, so its
-lines get the keys of that rest, level by level. Lines that share a last key are verified by a
+line are dropped by counting, and so are keys that are no line's own. The lines of keys with more
+than `most` lines meet by their rarest grams instead. Lines that share a key are verified by a
 banded bit-parallel automaton: one bit per diagonal and edit count, advanced over
 the characters. A key is dealt over cells of two blocks of at most about `block`
 lines and `cell_chars` characters; a cell returns lines to drop, never pairs.
@@ -39,6 +38,11 @@ _TEXT_KEY = "xxhash64(text)"
 #: Lines within d edits differ by at most d in the number of characters of each of these sets, and by 2d over all sets.
 _COUNTED = (*"etaoinsrhlducm", "0123456789", " .,;:-")
 _PIECE = 16
+#: Characters of a gram; every gram, from each character on that is not the second half of a surrogate pair.
+_GRAM = 3
+_GRAMS = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}].{{{_GRAM - 1}}}))"
+#: Lines of a hot key, about, in which grams are counted, and the number of counters.
+_SAMPLE, _BUCKETS = 8, 1 << 14
 
 
 def with_segments(rows: DataFrame) -> DataFrame:
@@ -68,31 +72,20 @@ def segment_keys(text: str, max_edits: int, salt: Column) -> list[tuple[Column,
 
 
 def with_keys(lines: DataFrame, max_edits: int, per_edit: int) -> DataFrame:
-    """Per kind of partner (edits, extra) and `kind` of segment: a line's `key`; the other columns are passed on."""
+    """Per kind of partner (edits, extra) and `kind` of segment: a line's `key`, and whether it is its `own`; the other columns are passed on.
+
+    A key is a line's own if it is the shorter one's: the line's segment at its own place, for partners not shorter than it.
+    """
     kinds = [F.struct(F.lit(e).alias("edits"), F.lit(x).alias("extra")) for e in range(max_edits, 0, -1) for x in range(e + 1)]
     rows = lines.withColumn("size", F.char_length("line")).filter(F.col("size") >= per_edit).withColumn("k", F.explode(F.array(*kinds)))
     rows = rows.withColumn("edits", F.col("k.edits")).withColumn("extra", F.col("k.extra")).drop("k")
     # The shorter of two lines says how many edits they may differ by.
     rows = rows.filter(F.least(F.lit(max_edits), F.call_function("div", F.col("size") - F.col("extra"), F.lit(per_edit))) == F.col("edits"))
     rows = with_segments(rows)
-    found = F.array(*[k for k, *_ in segment_keys("line", max_edits, F.lit(0))])
-    return rows.select(*lines.columns, "size", "edits", "extra", F.posexplode(found).alias("kind", "key")).filter("key is not null")
-
-
-def rest_of(at: Column, max_edits: int) -> list[Column]:
-    """What stays to compare beside each of `segment_keys`, as structs (key, at, size, extra, edits); `at` is the text's place in its line."""
-    out = []
-    for key, i, shift, begin, own in segment_keys("rest", max_edits, F.col("key")):
-        left = i == F.col("edits")
-        rest = F.struct(
-            key.alias("key"),
-            F.when(left, at).otherwise(at + begin + own).cast("int").alias("at"),
-            F.when(left, begin).otherwise(F.col("size") - begin - own).cast("int").alias("size"),
-            F.when(left, shift).otherwise(F.col("extra") - shift).cast("int").alias("extra"),
-            F.when(left, F.col("edits")).otherwise(F.col("edits") - i).cast("int").alias("edits"),
-        )
-        out.append(F.when(key.isNotNull(), rest))
-    return out
+    keys = segment_keys("line", max_edits, F.lit(0))
+    rows = rows.select(*lines.columns, "size", "edits", "extra", F.posexplode(F.array(*[k for k, *_ in keys])).alias("kind", "key")).filter("key is not null")
+    at_home = F.element_at(F.array(*[shift == 0 for _, _, shift, *_ in keys]), F.col("kind") + 1)
+    return rows.withColumn("own", (F.col("extra") == 0) & at_home)
 
 
 def _automaton(a: Column, b: Column, max_edits: int) -> Column:
@@ -161,51 +154,61 @@ def _lines(docs: DataFrame) -> DataFrame:
     return given.select(pos, "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _split_hot(members: DataFrame, texts: DataFrame, max_edits: int, per_edit: int, most: int, levels: int) -> DataFrame:
-    """(key, id) of keys with at most `most` lines, as far as `levels` of splitting get there."""
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(key, n) of keys under which lines can be partners: at least two lines, and for one of them the key is its own.
+
+    Lines within the edits meet under an own key of the shorter one. Copies of one text also agree in every shifted
+    substring; a key of such substrings alone brings no pair that isn't found elsewhere.
+    """
+    sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
+    return sized.filter("own and low < high").select("key", "n")
+
+
+def _split_hot(members: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """(key, id) of keys with at most `most` lines, and instead of the others the lines' rarest grams.
+
+    An edit takes at most `_GRAM` different grams from a line, so of two lines within d edits, with grams in one common
+    order, each has one of the other's first `_GRAM` * d + 1 among its own. Lines with too few grams for that get key 0,
+    and so do all that could be near one of them. The order is by frequency in a few lines of each hot key: it decides
+    how long the groups are, not what is found.
+    """
     sized = members.groupBy("key").agg(F.count("*").alias("n"))
-    hot = written(sized.filter(F.col("n") > most).select("key"), "line-hot")
+    hot = written(sized.filter(F.col("n") > most), "line-hot")
     if hot.isEmpty():
         return members
     done = members.join(hot, "key", "left_anti")
-    lines = texts.join(members.join(hot, "key").select("id").distinct(), "id", "left_semi").select("id", "line")
-    # A hot key's own segment is found again in the whole line, whose rest is the line itself.
-    now = with_keys(lines, max_edits, per_edit).join(hot, "key").select("id", "key", "kind", F.lit(0).alias("at"), "size", "extra", "edits")
-    for level in range(levels + 1):
-        rest = now.join(texts.select("id", "line"), "id").withColumn("rest", F.col("line").substr(F.col("at") + 1, F.col("size")))
-        found = F.array(*rest_of(F.col("at"), max_edits))
-        rest = with_segments(rest)
-        if level == 0:
-            rest = rest.select("id", "key", F.element_at(found, F.col("kind") + 1).alias("x")).select("id", "key", *[f"x.{c}" for c in ("at", "size", "extra", "edits")])
-        else:
-            rest = rest.select("id", F.explode(found).alias("x")).filter("x is not null").select("id", "x.*").distinct()
-        rest = written(rest, "line-split")
-        sized = rest.groupBy("key").agg(F.count("*").alias("n"))
-        rest = rest.join(sized.filter("n > 1"), "key")
-        # A rest of a few characters has no segments that tell lines apart.
-        again = (F.col("n") > most) & (F.col("size") - F.col("extra") > 2 * F.col("edits") + 1)
-        if level == levels:
-            again = F.lit(False)
-        done = done.unionByName(rest.filter(~again).select("key", "id").distinct())
-        now = written(rest.filter(again).drop("n"), "line-hot")
-        if now.isEmpty():
-            break
-    return done
-
-
-def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block: int = 32, most: int = 64, levels: int = 4, cell_chars: int = 1 << 20) -> DataFrame:
+    found = written(members.join(hot, "key"), "line-split")
+    grams = F.transform(F.array_distinct(F.regexp_extract_all("line", F.lit(_GRAMS), F.lit(1))), lambda g: F.xxhash64(g))
+    lines = texts.select("id", "edits", "line")
+    lines = written(lines.join(found.select("id").distinct(), "id", "left_semi").select("id", "edits", grams.alias("grams")), "line-grams")
+    some = found.filter(F.pmod(F.xxhash64("id"), "n") < _SAMPLE).select("id").distinct()
+    counted = lines.join(some, "id", "left_semi").select(F.explode("grams").alias("gram")).groupBy(F.pmod("gram", F.lit(_BUCKETS)).alias("bucket")).count()
+    counts = [0] * _BUCKETS
+    for bucket, n in counted.collect():
+        counts[bucket] = n
+    order = members.sparkSession.createDataFrame([(counts,)], "counts array<int>")
+    ranked = F.array_sort(F.transform("grams", lambda g: F.struct(F.get("counts", F.pmod(g, F.lit(_BUCKETS)).cast("int")).alias("n"), g.alias("gram"))))
+    first = F.transform(F.slice(ranked, 1, F.col("edits") * _GRAM + 1), lambda x: x["gram"])
+    few = F.when(F.size("grams") <= F.col("edits") * (2 * _GRAM), F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>"))
+    rare = lines.join(F.broadcast(order)).select("id", F.explode(F.concat(first, few)).alias("key"))
+    rare = written(rare.select(F.xxhash64(F.lit("gram"), "key").alias("key"), "id"), "line-rare")
+    shared = rare.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    return done.unionByName(rare.join(shared, "key"))
+
+
+def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block: int = 32, most: int = 64, cell_chars: int = 1 << 20) -> DataFrame:
     """Of different lines (id, pos, line): the ids of those with an earlier line within the edits."""
     # Dealt once by key, as rows of two numbers, for counting and for joining the counts. The sides that grow
     # with the corpus are not offered for broadcasting.
-    entries = with_keys(lines.select("id", "line"), max_edits, per_edit).select("key", "id").repartition("key")
-    shared = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("key")
-    members = written(entries.join(shared.hint("merge"), "key").distinct(), "line-members")
+    entries = with_keys(lines.select("id", "line"), max_edits, per_edit).select("key", "id", "own").repartition("key")
+    shared = _meeting(entries).select("key")
+    members = written(entries.join(shared.hint("merge"), "key").select("key", "id").distinct(), "line-members")
     size = F.char_length("line")
     counts = [(size - F.char_length(F.translate("line", chars, ""))).alias(f"c{k}") for k, chars in enumerate(_COUNTED)]
     texts = lines.join(members.select("id").distinct().hint("merge"), "id", "left_semi")
     texts = texts.select("id", "pos", "line", size.alias("size"), F.least(F.lit(max_edits), F.floor(size / per_edit).cast("int")).alias("edits"), _pieces("line").alias("pieces"), *counts)
     texts = written(texts, "line-texts")
-    members = written(_split_hot(members, texts, max_edits, per_edit, most, levels), "line-groups")
+    members = written(_split_hot(members, texts, most), "line-groups")
     # Keys with the same lines do the same work: one of them is enough.
     member = F.xxhash64("id")
     same = members.join(texts.select("id", "size"), "id").groupBy("key").agg(

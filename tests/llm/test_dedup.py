@@ -209,6 +209,49 @@ def test_line_dedup_splits_a_common_segment(spark, shared):
     assert {r.doc_id: r.text for r in found} == brute_lines(docs)
 
 
+def test_line_dedup_keys_do_not_multiply_in_a_group_of_copies(spark, monkeypatch):
+    """Long lines with one or two other words: few keys a line, whatever the size of the group, and no partner lost."""
+    draw, lines = random.Random(1), []
+    vocabulary = ["".join(draw.choice("etaoinsrhl") for _ in range(draw.randint(2, 9))) for _ in range(3000)]
+    base = [draw.choice(vocabulary) for _ in range(90)]
+    for _ in range(1500):
+        words = list(base)
+        for _ in range(draw.choice([1, 2])):
+            words[draw.randrange(90)] = draw.choice(vocabulary)
+        lines.append(" ".join(words))
+        if draw.random() < 0.1:
+            x = list(lines[-1])
+            x[draw.randrange(len(x))] = draw.choice(["", "😀", "xy"])
+            lines.append("".join(x))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows, write = {}, line_dedup.written
+
+    def counting(out, name):
+        out = write(out, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counting)
+    found = line_dedup.report(df).collect()
+    assert rows["line-groups"] < 12 * len(lines)
+    assert sorted(found) == sorted(line_dedup.report(df, most=len(lines)).collect())
+    assert sum(r.n_near for r in found) > 100
+
+
+def test_line_dedup_of_repetitive_lines(spark):
+    """Fewer different grams than the edits could take."""
+    draw, lines = random.Random(3), []
+    for _ in range(150):
+        x = list(draw.choice(["a", "ab", "abc", "a😀", "abcdefgh"]) * 40)[: draw.randint(10, 45)]
+        for _ in range(draw.choice([0, 1, 2, 3])):
+            i = draw.randrange(len(x))
+            x[i : i + draw.randint(0, 1)] = draw.choice(["", "x", "😀"])
+        lines.append("".join(x))
+    docs = list(enumerate(lines))
+    found = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string"), most=2, block=4).collect()
+    assert {r.doc_id: r.text for r in found} == brute_lines(docs)
+
+
 def test_line_dedup_of_a_hot_segment_and_a_long_line(spark):
     draw = random.Random(6)
     lines = ["a common beginning of lines " + "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(20, 60))) for _ in range(20_000)]

@@ -44,10 +44,8 @@ GROUP = 32
 TAILS = 40
 HASHED = 8
 END = b""  # no word is empty
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+#: Tokens, about, whose class logits are worked on at once: they stay in a core's cache.
+CHUNK = 1024
 
 
 def _tame(weights: np.ndarray, bias: np.ndarray) -> bool:
@@ -88,82 +86,112 @@ class Gru:
             at += v.size
 
     def run(self, codes: np.ndarray, starts: np.ndarray, targets: np.ndarray, state: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray, dict | None]:
-        """One window (steps, slots): natural log-chance of each target's class and place in it, the last state, gradients."""
+        """One window (steps, slots): natural log-chance of each target's class and place in it, the last state, gradients.
+
+        Arrays lie by step, unit and slot: a step is one block, and all passes run over long rows. A row of ones below the
+        states carries the biases.
+        """
         p, h = self.p, self.hidden
-        t, b = codes.shape
-        gates_x = p["x"][codes]
-        kept = []
-        states = np.empty((t, b, h), np.float32)
-        begins = starts.any(axis=1)
+        (t, b), real = codes.shape, p["x"].dtype
+        # The gates' rows are negated for their exponentials.
+        sign = np.repeat(np.array([-1, 1], real), [2 * h, h])
+        inputs, recurrent = np.ascontiguousarray((p["x"] * sign).T), np.ascontiguousarray((p["u"] * sign).T)
+        begins, keep = starts.any(axis=1).tolist(), (~starts).astype(real)
+        gates, states, befores, recs = (np.empty((t, rows, b), real) for rows in (3 * h, h + 1, h, h))
+        z, r, new = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
+        states[:, h] = 1
+        now = state.T
         for k in range(t):
-            before = np.where(starts[k][:, None], np.float32(0), state) if begins[k] else state
-            rec = before @ p["u"]
-            zr = _sigmoid(gates_x[k, :, : 2 * h] + rec[:, : 2 * h])
-            new = np.tanh(gates_x[k, :, 2 * h :] + zr[:, h:] * rec[:, 2 * h :])
-            state = new + zr[:, :h] * (before - new)
-            states[k] = state
-            if learn:
-                kept.append((before, zr, new, rec[:, 2 * h :]))
-        flat, target = states.reshape(-1, h), targets.ravel()
-        is_head = target < self.head
-        kind = np.where(is_head, target // GROUP, target - self.head + self.groups)
-        logits = flat @ p["c"]
-        logits += p["cb"]
+            before, gate, rec = befores[k], gates[k], recs[k]
+            zr, fresh = gate[: 2 * h], gate[2 * h :]
+            np.take(inputs, codes[k], axis=1, out=gate, mode="clip")
+            np.multiply(now, keep[k] if begins[k] else real.type(1), out=before)
+            sums = recurrent @ before
+            zr += sums[: 2 * h]
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            rec[:] = sums[2 * h :]
+            fresh += zr[h:] * rec
+            np.tanh(fresh, out=fresh)
+            now = states[k, :h]
+            np.subtract(before, fresh, out=now)
+            now *= zr[:h]
+            now += fresh
+        is_head = targets < self.head
+        kind = np.where(is_head, targets // GROUP, targets - self.head + self.groups)
+        by_class = np.ascontiguousarray(np.vstack([p["c"], p["cb"]]).T)
         # States are within -1 and 1, so logits have known bounds: mostly no exponential can overflow.
-        if not _tame(p["c"], p["cb"]):
-            logits -= logits.max(axis=1, keepdims=True)
-        chance = np.exp(logits)
-        sums = chance.sum(axis=1, keepdims=True)
-        rows = np.arange(len(target))
-        scores = logits[rows, kind] - np.log(sums[:, 0])
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.groups + 1))
-        g: dict | None = None
-        if learn:
-            d = chance
-            d /= sums
-            d[rows, kind] -= 1
-            to_state = d @ p["c"].T
-            g = {"c": flat.T @ d, "cb": d.sum(axis=0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
-        tame = [_tame(p["o"][c].T, p["ob"][c]) for c in range(self.groups)]
-        for c in range(self.groups):
-            own = order[edges[c] : edges[c + 1]]
-            if not len(own):
-                continue
-            place = target[own] - c * GROUP
-            inside = flat[own] @ p["o"][c].T + p["ob"][c]
-            if not tame[c]:
-                inside -= inside.max(axis=1, keepdims=True)
-            e = np.exp(inside)
-            total = e.sum(axis=1, keepdims=True)
-            scores[own] += inside[np.arange(len(own)), place] - np.log(total[:, 0])
-            if g is not None:
-                d = e / total
-                d[np.arange(len(own)), place] -= 1
-                g["o"][c], g["ob"][c] = d.T @ flat[own], d.sum(axis=0)
-                to_state[own] += d @ p["o"][c]
-        if g is not None:
-            to_state = to_state.reshape(t, b, h)
-            to_x = np.empty_like(gates_x)
-            g["u"] = np.zeros_like(p["u"])
-            ahead = np.zeros((b, h), np.float32)
-            for k in range(t - 1, -1, -1):
-                before, zr, new, rec = kept[k]
-                dh = to_state[k] + ahead
-                dn = dh * (1 - zr[:, :h]) * (1 - new * new)
-                dzr = np.concatenate([dh * (before - new), dn * rec], axis=1) * zr * (1 - zr)
-                to_x[k, :, : 2 * h], to_x[k, :, 2 * h :] = dzr, dn
-                du = np.concatenate([dzr, dn * zr[:, h:]], axis=1)
-                g["u"] += before.T @ du
-                ahead = dh * zr[:, :h] + du @ p["u"].T
-                if begins[k]:
-                    ahead[starts[k]] = 0
-            code = codes.ravel()
-            by = np.argsort(code, kind="stable")
-            first = np.flatnonzero(np.diff(code[by], prepend=-1))
-            g["x"] = np.zeros_like(p["x"])
-            g["x"][code[by][first]] = np.add.reduceat(to_x.reshape(-1, 3 * h)[by], first, axis=0)
-        return scores.reshape(t, b), state, g
+        tame = _tame(p["c"], p["cb"])
+        scores, to_state, g_classes = np.empty((t, b), real), np.empty((t, h, b), real), np.zeros_like(by_class)
+        steps = max(1, CHUNK // b)
+        for lo in range(0, t, steps):
+            s, own = states[lo : lo + steps], kind[lo : lo + steps]
+            e = by_class @ s
+            at = own * b
+            at += np.arange(len(own))[:, None] * (len(by_class) * b) + np.arange(b)
+            if not tame:
+                e -= e.max(axis=1, keepdims=True)
+            each = e.reshape(-1)
+            chosen = each.take(at)
+            np.exp(e, out=e)
+            sums = e.sum(axis=1)
+            np.subtract(chosen, np.log(sums), out=scores[lo : lo + steps])
+            if learn:
+                each[at] -= sums
+                g_classes += (e @ (s / sums[:, None]).transpose(0, 2, 1)).sum(axis=0)
+                np.matmul(p["c"], e, out=to_state[lo : lo + steps])
+                to_state[lo : lo + steps] /= sums[:, None]
+        # Sorted by class, each class's tokens are one run of rows.
+        kind = kind.ravel()
+        order = np.argsort(kind.astype(np.uint16) if len(by_class) <= 1 << 16 else kind, kind="stable")
+        edges = np.searchsorted(kind[order], np.arange(self.groups + 1)).tolist()
+        heads = order[: edges[-1]]
+        step, slot = np.divmod(heads, b)
+        rows = states[step, :, slot]
+        words = np.concatenate([p["o"], p["ob"][:, :, None]], axis=2)
+        runs = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip(edges, edges[1:])) if hi > lo]
+        inside = np.empty((len(heads), GROUP), real)
+        for c, own in runs:
+            np.matmul(rows[own], words[c].T, out=inside[own])
+        if not _tame(p["o"].transpose(2, 0, 1), p["ob"]):
+            inside -= inside.max(axis=1, keepdims=True)
+        each, at = inside.reshape(-1), targets.ravel()[heads] % GROUP + np.arange(len(heads)) * GROUP
+        chosen = each[at]
+        np.exp(inside, out=inside)
+        sums = inside @ np.ones(GROUP, real)
+        scores.reshape(-1)[heads] += chosen - np.log(sums)
+        if not learn:
+            return scores, now.T, None
+        each[at] -= sums
+        shares, back, g_words = rows / sums[:, None], np.empty((len(heads), h), real), np.zeros_like(words)
+        for c, own in runs:
+            np.matmul(inside[own].T, shares[own], out=g_words[c])
+            np.matmul(inside[own], p["o"][c], out=back[own])
+        back /= sums[:, None]
+        to_state[step, :, slot] += back
+        ahead = np.zeros((h, b), real)
+        du, dx = np.empty((t, 3 * h, b), real), np.empty((3 * h, t, b), real)
+        for k in range(t - 1, -1, -1):
+            dh, d, zk, rk, fresh = to_state[k], du[k], z[k], r[k], new[k]
+            dh += ahead
+            carried = dh * zk
+            dn = (dh - carried) * (1 - fresh * fresh)
+            np.multiply(dn, rk, out=d[2 * h :])
+            np.multiply(befores[k] - fresh, carried, out=d[:h])
+            np.multiply(d[2 * h :], recs[k], out=d[h : 2 * h])
+            d[: 2 * h] *= 1 - gates[k, : 2 * h]
+            dx[: 2 * h, k], dx[2 * h :, k] = d[: 2 * h], dn
+            ahead = p["u"] @ d
+            ahead += carried
+            if begins[k]:
+                ahead *= keep[k]
+        code, g_x = codes.ravel(), np.empty_like(p["x"])
+        for j, d in enumerate(dx):
+            g_x[:, j] = np.bincount(code, d.reshape(-1), minlength=len(g_x))
+        u = (befores @ du.transpose(0, 2, 1)).sum(axis=0)
+        g = {"x": g_x, "u": u, "c": g_classes[:, :h].T, "cb": g_classes[:, h], "o": g_words[:, :, :h], "ob": g_words[:, :, h]}
+        return scores, now.T, g
 
 
 class Slots:
@@ -209,7 +237,8 @@ def run_texts(model: Gru, texts: list[np.ndarray], end: int, window: int, learn:
     out = np.zeros(len(texts))
     if not texts:
         return out
-    slots = Slots(texts)
+    # Scores don't depend on how many texts run side by side, weights do.
+    slots = Slots(texts) if learn else Slots(texts, 1024)
     state = np.zeros((len(slots.lengths), model.hidden), np.float32)
     for places, at in slots.windows(window):
         codes = np.empty(places.shape, np.int64)
@@ -235,10 +264,21 @@ class Adam:
         """One update from the gradients of `tokens`; windows that fill only a `share` of their places move the weights by less."""
         self.n += 1
         for k, d in g.items():
-            d = np.clip(d / tokens, -1, 1)
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.01 * (d * d - self.v[k])
-            p[k] -= self.rate * share * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.99**self.n)) + 1e-8)
+            d = d / tokens
+            np.clip(d, -1, 1, out=d)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            m += 0.1 * d
+            d *= d
+            d *= 0.01
+            v *= 0.99
+            v += d
+            np.divide(v, 1 - 0.99**self.n, out=d)
+            np.sqrt(d, out=d)
+            d += 1e-8
+            np.divide(m, d, out=d)
+            d *= self.rate * share / (1 - 0.9**self.n)
+            p[k] -= d
 
 
 class _Numbers(dict):

@@ -317,6 +317,20 @@ def test_language_model_memory_of_a_long_text():
     tracemalloc.stop()
 
 
+def test_language_model_holds_a_few_logits_at_once():
+    """The logits of a whole window would be 2.4 MB an array and leave the core's cache."""
+    import tracemalloc
+
+    draw, model = np.random.default_rng(3), gru_lm.Gru([5] * 1024, [3] * gru_lm.TAILS, 8)
+    codes, targets = draw.integers(0, model.head + gru_lm.TAILS, (2, 32, 256))
+    for learn, most in ((False, 5 << 20), (True, 8 << 20)):
+        tracemalloc.start()
+        model.run(codes, codes == 0, targets, np.zeros((256, 8), np.float32), learn)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, (learn, peak)
+
+
 def test_long_url_logins():
     text = f"clone https://{'u' * 70}:{'t' * 93}@forge.example/x now"
     assert [(k, a, b) for a, k, b in secret_scan.find_spans(text) if secret_scan.KINDS[k] == "url_login"] == [(6, 6, text.index("/x"))]

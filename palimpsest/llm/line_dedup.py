@@ -160,8 +160,19 @@ def _meeting(rows: DataFrame) -> DataFrame:
     Lines within the edits meet under an own key of the shorter one. Copies of one text also agree in every shifted
     substring; a key of such substrings alone brings no pair that isn't found elsewhere.
     """
-    sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"), F.max("own").alias("own"))
-    return sized.filter("own and low < high").select("key", "n")
+    line = F.shiftright("ref", 1)
+    sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(line).alias("low"), F.max(line).alias("high"), F.max(F.col("ref").bitwiseAND(1)).alias("own"))
+    return sized.filter("own = 1 and low < high").select("key", "n")
+
+
+def _entries(lines: DataFrame, max_edits: int, per_edit: int) -> DataFrame:
+    """(key, ref) of lines' keys, dealt by key: ref is twice the id, and one more where the key is the line's own.
+
+    Two columns that every reader needs: with a column that only one of them reads, the planner would deal the rows
+    once for each.
+    """
+    ref = F.shiftleft("id", 1).bitwiseOR(F.col("own").cast("long")).alias("ref")
+    return with_keys(lines.select("id", "line"), max_edits, per_edit).select("key", ref).repartition("key")
 
 
 def _split_hot(members: DataFrame, texts: DataFrame, most: int) -> DataFrame:
@@ -200,9 +211,9 @@ def near_lines(lines: DataFrame, max_edits: int = 2, per_edit: int = 10, block:
     """Of different lines (id, pos, line): the ids of those with an earlier line within the edits."""
     # Dealt once by key, as rows of two numbers, for counting and for joining the counts. The sides that grow
     # with the corpus are not offered for broadcasting.
-    entries = with_keys(lines.select("id", "line"), max_edits, per_edit).select("key", "id", "own").repartition("key")
+    entries = _entries(lines, max_edits, per_edit)
     shared = _meeting(entries).select("key")
-    members = written(entries.join(shared.hint("merge"), "key").select("key", "id").distinct(), "line-members")
+    members = written(entries.join(shared.hint("merge"), "key").select("key", F.shiftright("ref", 1).alias("id")).distinct(), "line-members")
     size = F.char_length("line")
     counts = [(size - F.char_length(F.translate("line", chars, ""))).alias(f"c{k}") for k, chars in enumerate(_COUNTED)]
     texts = lines.join(members.select("id").distinct().hint("merge"), "id", "left_semi")

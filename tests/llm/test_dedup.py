@@ -238,6 +238,24 @@ def test_line_dedup_keys_do_not_multiply_in_a_group_of_copies(spark, monkeypatch
     assert sum(r.n_near for r in found) > 100
 
 
+def test_line_dedup_deals_its_keys_once(spark, monkeypatch):
+    """The counting of the keys and the join of the counts read the same shuffle files."""
+    plans, write = {}, line_dedup.written
+
+    def planned(df, name):
+        if name == "line-members":
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", planned)
+    docs = [(i, f"a line of some words, number {i}") for i in range(50)]
+    found = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in found} == brute_lines(docs)
+    final = plans["line-members"].split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("Generate posexplode") == 1
+
+
 def test_line_dedup_of_repetitive_lines(spark):
     """Fewer different grams than the edits could take."""
     draw, lines = random.Random(3), []
